@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import pieces, texts_of, written
-from .tokenizing import ChunkEncoder
+from .tokenizing import encoder
 
 _RANK_BITS = 48
 
@@ -99,10 +99,10 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = ChunkEncoder(tokenizer), {}, TaskContext.get().partitionId()
+        own_encoder, seen, part = encoder(tokenizer), {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         for batch in pieces(batches, "text"):
-            ids, begins = encoder.encode(texts_of(batch))
+            ids, begins = own_encoder.encode(texts_of(batch))
             out: list[tuple] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 own = np.concatenate([ids[a:b], end])

@@ -30,7 +30,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, end_id=2)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

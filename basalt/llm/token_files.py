@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_path, partitions, pieces, texts_of
-from .tokenizing import ChunkEncoder
+from .tokenizing import encoder
 
 MAGIC = b"BTOK1\n"
 _NULL = np.iinfo(np.int64).min  # a null doc_id, in files
@@ -42,7 +42,7 @@ def train_dictionary(documents: DataFrame, tokenizer: str, dtype: str, sample: i
     rows = documents.where("text is not null").orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
     if not rows:
         return b""
-    ids, begins = ChunkEncoder(tokenizer).encode([r.text for r in rows])
+    ids, begins = encoder(tokenizer).encode([r.text for r in rows])
     arrays = [ids[a:b].astype(dtype).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
@@ -59,7 +59,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     files = files or partitions(spark)
-    vocabulary = ChunkEncoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
+    vocabulary = encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True)
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     raw = train_dictionary(documents, tokenizer, dtype, sample, dictionary_bytes)
     name = hashlib.sha256(raw).hexdigest()
@@ -71,11 +71,11 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
     bounds = np.unique(np.array(cuts, np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_checksum=False)
         end = np.array([end_id], dtype)
         for batch in pieces(batches, "text"):
-            ids, begins = encoder.encode(texts_of(batch))
+            ids, begins = own_encoder.encode(texts_of(batch))
             ids = ids.astype(dtype)
             docs = np.array([_NULL if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             frames = [packer.compress(np.concatenate([ids[a:b], end]).tobytes()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 _WHITE = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _BROKEN_ASCII = [c + " " for c in _WHITE if ord(c) < 128]
 _BROKEN = [c + " " for c in _WHITE]
-_CACHE_ENTRIES = 400_000  # of each of two dictionaries of a worker: some 80 MB
+_CACHE_ENTRIES = 150_000  # of a dictionary, of which a worker has up to four: some 120 MB in all
 #: A piece that is a match of the pre-tokenizer on its own, whatever stands around it in a chunk.
 _PIECE = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[!-&(-/:-@\[-`{}~]+|\n")
 
@@ -83,6 +84,12 @@ def gather(parts: list[bytes], numbers: np.ndarray, begins: np.ndarray) -> tuple
     return flat[at], np.concatenate([[0], ends])[begins]
 
 
+@lru_cache(2)
+def encoder(path: str) -> ChunkEncoder:
+    """This worker's encoder; what it has learned serves the worker's later tasks."""
+    return ChunkEncoder(path)
+
+
 class ChunkEncoder:
     """encode(texts): the ids of all texts in a row, and where each text's ids begin."""
 
