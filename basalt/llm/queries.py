@@ -5,6 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, chat, langid, packing, token_files, warc
+from ._common import new_path
+
 
 def tokenizer(name: str) -> str:
     """A vocabulary file, which is never copied into the repository."""
@@ -16,36 +19,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ._common import new_path
-    from .token_files import read_tokens, write_tokens
-
     path = new_path(spark, "tokens")
-    manifest = write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=1)
-    return read_tokens(spark, path, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end_id=1)
+    return token_files.read_tokens(spark, path, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
-
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, end_id=2)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import encode_documents
-
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .langid import identify
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
 
-    return identify(table(spark, sf_dir, "documents"))
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = new_path(spark, "warc")
+    files = warc.write_index(warc.write_archives(pages, path), path)
+    return warc.read_pages(spark, pages, path, files)
 
 
 QUERIES = {
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_language_id": op9_language_id,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_perspectives": chat.ORACLE, "op5_warc": warc.ORACLE}
