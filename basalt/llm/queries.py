@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, packing, token_files, warc
+from . import bpe, chat, langid, packing, token_files, vectors, warc
 from ._common import new_path
 
 
@@ -47,7 +47,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, pages, path, files)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op4_exact_top_k": op4_exact_top_k,
+    "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
     "op2_chat_perspectives": op2_chat_perspectives,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
@@ -55,4 +65,4 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op2_chat_perspectives": chat.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_perspectives": chat.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
