@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, packing, token_files, vectors, warc
+from . import bpe, chat, langid, ngram_join, packing, token_files, vectors, warc
 from ._common import new_path
 
 
@@ -55,7 +55,12 @@ def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_exact_top_k": op4_exact_top_k,
     "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
     "op2_chat_perspectives": op2_chat_perspectives,
@@ -65,4 +70,4 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op2_chat_perspectives": chat.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_chat_perspectives": chat.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
