@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, ngram_join, packing, token_files, vectors, warc
+from . import bpe, chat, langid, ngram_join, packing, suffix_dedup, token_files, vectors, warc
 from ._common import new_path
 
 
@@ -59,7 +59,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_exact_top_k": op4_exact_top_k,
     "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
@@ -70,4 +75,4 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_chat_perspectives": chat.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_chat_perspectives": chat.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
