@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_tokens as S
@@ -109,8 +109,13 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray, int]], side: np.ndarray, per
     return i[ok], j[ok]
 
 
+def _text_hash():
+    """Tells the texts of one doc_id apart."""
+    return F.to_binary(F.hex(F.xxhash64(F.col("text").cast("string"))), F.lit("hex"))
+
+
 def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """members: doc_id, n, sig for every row; found: ref, n, tokens, common of documents that may have a partner."""
+    """members: doc_id, n, sig, ref, h for every row; found: ref, n, tokens, common of documents that may have a partner."""
     spark = documents.sparkSession
     buckets = partitions(spark)
 
@@ -127,7 +132,7 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
                     seen[sig[-1]] = sender.add(tokens)
                 ref.append(seen[sig[-1]])
                 yield from sender.flush(force=False)
-            yield S.documents(S.home(np.array(ref, np.int64), buckets), batch.column("doc_id"), n, sig, ref, first)
+            yield S.documents(S.home(np.array(ref, np.int64), buckets), batch.column("doc_id"), n, sig, ref, first, batch.column("h").to_pylist())
         yield from sender.flush()
 
     def choose(table: pa.Table) -> pa.Table:
@@ -143,12 +148,12 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
         types = [("ref", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("common", pa.binary())]
         return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types)})
 
-    sent = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, S.SCHEMA)
+    sent = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("h")).mapInArrow(send, S.SCHEMA)
     shared = written(sent.groupBy("part").applyInArrow(S.share(buckets, CAP), S.SCHEMA), "shared")
     members = shared.where(F.col("kind") == S.DOCUMENT)
     returned = shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))).groupBy("part").applyInArrow(choose, "ref long, n long, tokens binary, common binary")
     one = members.where("first").groupBy("sig").agg(F.min("ref").alias("ref"))
-    return members.select("doc_id", "n", "sig", "ref"), written(returned.join(one, "ref", "left_semi"), "candidates")
+    return members.select("doc_id", "n", "sig", "ref", F.col("blob").alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
 
 
 def _pieces_of(found: DataFrame, percent: int) -> DataFrame:
@@ -188,14 +193,8 @@ def _pieces_of(found: DataFrame, percent: int) -> DataFrame:
     return connected_components(ties.where("u >= 0").select("u", "v").unionByName(across)).select(F.col("u").alias("ref"), "root")
 
 
-def link_documents(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """Components of documents (doc_id, text) by links of Jaccard similarity >= percent / 100.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).  Texts
-    that are null or have no words have no shingles and link with nothing.  Equal sets link; a null doc_id
-    takes part but never names a component unless all are null.  Repeated rows come back one each;
-    other columns are ignored; an empty table gives no rows.
-    """
+def _components(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members: doc_id, n, sig, ref, h for every row; component: sig, root, component."""
     spark = documents.sparkSession
     members, found = _candidates(documents, width, percent)
     least = _pieces_of(found, percent)
@@ -232,10 +231,42 @@ def link_documents(documents: DataFrame, width: int = 5, percent: int = 75) -> D
     roots = connected_components(links).select(F.col("u").alias("ref"), "root")
     named = members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")).join(roots, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    component = written(named.join(smallest, "root").select("sig", "component"), "components")
+    return members, written(named.join(smallest, "root").select("sig", "root", "component"), "components")
+
+
+def link_documents(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """Components of documents (doc_id, text) by links of Jaccard similarity >= percent / 100.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).  Texts
+    that are null or have no words have no shingles and link with nothing.  Equal sets link; a null doc_id
+    takes part but never names a component unless all are null.  Repeated rows come back one each;
+    other columns are ignored; an empty table gives no rows.
+    """
+    members, component = _components(documents, width, percent)
     return members.join(component, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The documents (doc_id, text and any other columns) without all but one of each component: that of the smallest doc_id.
+
+    Null ids come last, and of rows that share their id and text one stays.  Documents without words stay.
+    """
+    members, component = _components(documents, width, percent)
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "h"]
+    grouped = members.where("n > 0").join(component.select("sig", "root"), "sig")
+    chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), "h")).alias("m")).select("m.k", "m.none", "m.h")
+    kept = written(chosen.unionByName(members.where("n = 0").select(*key)), "kept")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), _text_hash().alias("h")]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *own)
+    stay = rows.join(kept.distinct(), ["k", "none", "h"], "left_semi")
+    again = members.where("n > 0").groupBy(*key).count().where("count > 1").limit(1).count()  # repeated rows are rare
+    if again:
+        first = Window.partitionBy("k", "none", "h").orderBy("k")
+        empty = ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        stay = stay.withColumn("i", F.row_number().over(first)).where((F.col("i") == 1) | empty)
+    return stay.select("row.*")
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

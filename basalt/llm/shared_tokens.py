@@ -65,8 +65,9 @@ def rows(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def documents(part: np.ndarray, doc_id, n, sig, ref, first) -> pa.RecordBatch:
-    columns = [pa.array([DOCUMENT] * len(part), pa.int32()), pa.array(part), pa.nulls(len(part), pa.binary()), doc_id, n, sig, ref, first]
+def documents(part: np.ndarray, doc_id, n, sig, ref, first, note=None) -> pa.RecordBatch:
+    """Rows of documents; note is what `blob` holds for them."""
+    columns = [pa.array([DOCUMENT] * len(part), pa.int32()), pa.array(part), note or [None] * len(part), doc_id, n, sig, ref, first]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
 

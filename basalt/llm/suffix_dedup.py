@@ -28,6 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import shared_tokens as S
 from ._common import partitions, pieces
@@ -185,6 +186,10 @@ _TYPES = [("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), ("d
 _TEXT, _LIST, _SEGMENTS, _CUTS = range(4)
 
 
+def _parsed(schema: str) -> list[StructField]:
+    return list(StructType.fromDDL(schema).fields)
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_TYPES)], [n for n, _ in _TYPES])
 
@@ -213,11 +218,11 @@ def _end_to_end(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
 
-def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove from documents (doc_id, text) each byte of a run of `length` bytes that also begins in a document of smaller doc_id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text, kept
-    (the bytes that are left).  Texts count as UTF-8 bytes, null as empty; runs are judged on the input.
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text, kept_text
+    (what is left; a character that was cut apart goes whole) and row (a struct of the columns named in `keep`).  Texts count as UTF-8 bytes, null as empty; runs are judged on the input.
     Rows of one doc_id take nothing from each other.  A row with a null doc_id stays whole and takes nothing from others.
     Rows come back one each, other columns are ignored, an empty table gives no rows.  length is 16 at least.
     """
@@ -269,6 +274,17 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             to = _key_bucket(np.array([i or 0 for i in ids], np.int64), h, buckets)
             yield _table([(_TEXT, p, pack.compress(t), i, x) for p, t, i, x in zip(to.tolist(), texts, ids, h.tolist(), strict=True)])
 
+    def carry_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def kept():
+            for batch in pieces(batches, "text"):
+                held.append(batch)
+                yield batch
+
+        for made in carry(kept()):
+            yield pa.RecordBatch.from_arrays([*made.columns, held.pop().column("row")], [*made.schema.names, "row"])
+
     def segments(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind"))
         lists: dict[tuple, np.ndarray] = {}
@@ -359,16 +375,23 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                     rest.append(raw[at:a])
                     at = b
                 kept = b"".join([*rest, raw[at:]])
-            out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())][: 5 + keep_text]
-        return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types)})
+            out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+        types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
+        made = {name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types[: 5 + keep_text])}
+        return pa.table(made | ({"row": texts.column("row")} if keep_text else {}))
 
     shared = known.mapInArrow(send, S.SCHEMA).groupBy("part").applyInArrow(S.share(buckets, 2), S.SCHEMA)
     lists = shared.groupBy("part").applyInArrow(address, _ROWS)
     found = lists.unionByName(known.mapInArrow(carry, _ROWS)).groupBy("part").applyInArrow(segments, _ROWS)
     cuts = found.groupBy("part").applyInArrow(match, _ROWS)
-    result = cuts.unionByName(rows.mapInArrow(carry, _ROWS)).groupBy("part").applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
-    return result
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if not keep_text:
+        return cuts.unionByName(rows.mapInArrow(carry, _ROWS)).groupBy("part").applyInArrow(cut, schema)
+    whole = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row"))
+    row = whole.schema["row"].dataType
+    carried = whole.mapInArrow(carry_row, StructType([*_parsed(_ROWS), StructField("row", row)]))
+    made = cuts.withColumn("row", F.lit(None).cast(row)).unionByName(carried)
+    return made.groupBy("part").applyInArrow(cut, StructType([*_parsed(schema), StructField("kept_text", StringType()), StructField("row", row)]))
 
 
 ORACLE = """
