@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import pieces, texts_of
 
@@ -169,16 +170,15 @@ def folds(doc_id="doc_id"):
 
 
 def fit_languages(documents: DataFrame, per_language: int = 1500, most_languages: int = 64, buckets: int = 1 << 14) -> Model:
-    """Learn from at most per_language labelled rows of each of the most_languages commonest languages.
+    """Learn from some per_language labelled rows of each of the most_languages commonest languages.
 
-    The sample is bounded by these parameters; it is drawn by a hash of doc_id from the rows that aren't held out.
+    The sample is bounded by these parameters, as a share of each language is drawn by a hash of doc_id from the
+    rows that aren't held out, and twice their product is never passed.
     """
-    spark = documents.sparkSession
     rows = documents.where("doc_id is not null and lang is not null and text is not null").where(~folds())
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    ranked = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k"))
-    ids = sorted({r.doc_id for r in ranked.where(F.col("k") <= per_language).collect()})
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")  # per_language * most_languages ids at most
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    share = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, per_language / r["count"]))]) if common else F.create_map(F.lit(""), F.lit(0.0))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -189,8 +189,8 @@ def fit_languages(documents: DataFrame, per_language: int = 1500, most_languages
                 ["lang", "at", "n"],
             )
 
-    sampled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").mapInArrow(featurize, "lang string, at binary, n binary")
-    got = sampled.limit(per_language * most_languages).collect()
+    sampled = chosen.select("lang", "text").mapInArrow(featurize, "lang string, at binary, n binary")
+    got = sampled.limit(2 * per_language * most_languages).collect()
     return train(sorted(((r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<f4")) for r in got), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())), buckets)
 
 
@@ -207,8 +207,6 @@ def predict_languages(documents: DataFrame, model: Model) -> DataFrame:
             keep = [batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected)], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType(list(documents.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return documents.mapInArrow(predict, schema)
 
