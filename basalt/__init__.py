@@ -1,0 +1,6 @@
+"""Basalt: an analytics engine that plans with Spark and answers like a columnar SQL database."""
+
+from .catalog import load_tables, table
+from .session import build_session
+
+__all__ = ["build_session", "load_tables", "table"]
