@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (as in tests), one on this machine."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = "file://" + tempfile.mkdtemp(prefix="basalt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", whole)
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="basalt-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
