@@ -18,12 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pieces, texts_of
-from .tokenizing import _PIECE, Recent, cut, gather, splittable
+from .tokenizing import _PIECE, Recent, splittable
 
 LONG = 2048
 _NONE = np.int32(np.iinfo(np.int32).max)
@@ -161,6 +162,26 @@ def load_ranks(path: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a})
 
 
+def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """The distinct chunks, each chunk's number, the first chunks and where each text's chunks begin."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    begins = np.asarray(lists.offsets, np.int64)
+    coded = lists.flatten().dictionary_encode()
+    numbers = np.asarray(coded.indices, np.int64)
+    return coded.dictionary.to_pylist(), numbers, pc.list_element(lists, 0).to_pylist(), begins - begins[0]
+
+
+def gather(parts: list[bytes], numbers: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of parts[n] for each n of numbers, one after another, and where each text's ids begin."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[numbers]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[numbers] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at], np.concatenate([[0], ends])[begins]
+
+
 @lru_cache(2)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """This worker's encoder; what it has learned serves the worker's later tasks."""
@@ -171,15 +192,16 @@ class TextEncoder:
     def __init__(self, path: str, pattern: str):
         self.bpe, self.pattern = load_ranks(path), regex.compile(pattern)
         self.spaced = pattern == SPACED
-        self.chunks, self.known = Recent(), Recent()
+        self.chunks, self.known = Recent(200_000), Recent(150_000)
 
     def _pieces(self, chunk: str) -> list[str]:
-        """The pattern's matches in a chunk with the space before it."""
-        plain = _PIECE.findall(chunk)
-        if plain and sum(map(len, plain)) == len(chunk) and chunk[0] != "\n" and chunk[-1] != "\n" and "\n\n" not in chunk:
-            plain[0] = " " + plain[0]
-            return plain
-        return self.pattern.findall(" " + chunk)
+        """The pattern's matches in a chunk, with the space or line feed before it."""
+        line = chunk[:1] == "\n"
+        words = chunk[line:]
+        plain = _PIECE.findall(words)
+        if sum(map(len, plain)) == len(words) and (line or words):
+            return ["\n", *plain] if line else [" " + plain[0], *plain[1:]]
+        return self.pattern.findall(chunk if line else " " + chunk)
 
     def _encode(self, lists: list[list[str]]) -> list[bytes]:
         found: dict[str, bytes | None] = {}
@@ -196,7 +218,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin."""
-        ok = splittable(texts) if self.spaced else np.zeros(len(texts), bool)
+        ok = np.array([self.spaced and splittable(t) for t in texts], bool)
         distinct, numbers, first, begins = cut(pa.array([t for t, k in zip(texts, ok, strict=True) if k], pa.large_string()))
         parts = list(map(self.chunks.get, distinct))
         new = [i for i, raw in enumerate(parts) if raw is None]

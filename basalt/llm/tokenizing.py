@@ -1,10 +1,10 @@
 """Encoding whole texts with a `tokenizers` file, each distinct chunk once.
 
-A chunk is what stands between two spaces, with the space before it.  Where the character before a
-space isn't white space itself, no match of the two supported pre-tokenizers crosses that place, so
-a text's ids are its chunks' ids in a row.  Arrow splits a batch of texts and numbers the distinct
-chunks; only chunks new to the worker are encoded.  Texts with other white space before a space are
-encoded as they are.
+A chunk begins at a space or line feed and ends before the next.  Where the character before one of
+these isn't white space itself, no match of the two supported pre-tokenizers crosses that place, so
+a text's ids are its chunks' ids in a row; two line feeds before a word are two matches as well.  Only
+chunks that the worker hasn't met lately are encoded.  Texts with other runs of white space are encoded as
+they are.
 """
 
 from __future__ import annotations
@@ -12,19 +12,19 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 #: White space of Unicode, before which a text isn't cut at a space.
 _WHITE = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_BROKEN_ASCII = [c + " " for c in _WHITE if ord(c) < 128]
-_BROKEN = [c + " " for c in _WHITE]
-_CACHE_ENTRIES = 150_000  # of a dictionary, of which a worker has up to four: some 120 MB in all
+_RUNS = ("  ", " \n", "\n ", "\n\n\n")
+_RARE = [c for c in _WHITE if c not in " \n"]
+_RARE_ASCII = [c for c in _RARE if c.isascii()]
+_CACHE_ENTRIES = 450_000  # of a dictionary of chunks, of which a worker has two: some 180 MB
 #: A piece that is a match of the pre-tokenizer on its own, whatever stands around it in a chunk.
-_PIECE = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[!-&(-/:-@\[-`{}~]+|\n")
+_PIECE = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[!-&(-/:-@\[-`{}~]+")
 
 
 def load(path: str):
@@ -60,28 +60,16 @@ class Recent:
         self.new[key] = value
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, list[str], np.ndarray]:
-    """Which texts can be cut; of those the distinct chunks, each chunk's number, the first chunks and where each text's chunks begin."""
-    lists = pc.split_pattern(texts, " ")
-    begins = np.asarray(lists.offsets, np.int64)
-    coded = lists.flatten().dictionary_encode()
-    numbers = np.asarray(coded.indices, np.int64)
-    return coded.dictionary.to_pylist(), numbers, pc.list_element(lists, 0).to_pylist(), begins - begins[0]
+def splittable(text: str) -> bool:
+    """Whether white space stands alone, but for two line feeds."""
+    if any(x in text for x in _RUNS) or text[-1:] == "\n":
+        return False
+    return not any(c in text and (c + " " in text or c + "\n" in text or "\n\n" + c in text) for c in (_RARE_ASCII if text.isascii() else _RARE))
 
 
-def splittable(texts: list[str]) -> np.ndarray:
-    return np.fromiter((not any(x in t for x in (_BROKEN_ASCII if t.isascii() else _BROKEN)) for t in texts), bool, len(texts))
-
-
-def gather(parts: list[bytes], numbers: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of parts[n] for each n of numbers, one after another, and where each text's ids begin."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    starts = np.cumsum(sizes) - sizes
-    n = sizes[numbers]
-    ends = np.cumsum(n)
-    at = np.repeat(starts[numbers] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[at], np.concatenate([[0], ends])[begins]
+def chunks_of(text: str) -> list[str]:
+    """Chunks without their first space, or with their first line feed; the first has neither, or a line feed."""
+    return text.replace("\n", " \n").split(" ")
 
 
 @lru_cache(2)
@@ -99,50 +87,78 @@ class ChunkEncoder:
         self.letters = byte_letters()
         with open(path) as f:
             self.lower = "Lowercase" in json.dumps(json.load(f).get("normalizer"))
-        self.lone = "" if self.lower else " "  # what the space before a chunk becomes
-        self.chunks, self.pieces = Recent(), Recent()
+        self.chunks, self.pieces = Recent(), Recent(_CACHE_ENTRIES // 6)
+        self.seen, self.copies = Recent(50_000), Recent(500)
+        self.none = "  "  # stands for no chunk: no chunk holds a space
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _tokens(self, seen: str) -> bytes:
+        """The ids of a piece in the vocabulary's letters."""
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if (raw := self.pieces.get(piece)) is None:
-            seen = piece.encode().decode("latin-1").translate(self.letters)
-            raw = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            raw = self._tokens(piece.encode().decode("latin-1").translate(self.letters))
             self.pieces.put(piece, raw)
         return raw
 
     def _chunk(self, chunk: str) -> bytes | None:
         """The ids of a chunk that is made of plain pieces, else None."""
-        pieces = _PIECE.findall(chunk)
-        if not pieces or sum(map(len, pieces)) != len(chunk) or chunk[0] == "\n" or chunk[-1] == "\n" or "\n\n" in chunk:
+        line = chunk[:1] == "\n"
+        words = chunk[line:]
+        if words.isalpha() and not line:
+            if words.isascii():  # letters that stand for themselves
+                return self._tokens(words.lower() if self.lower else "\u0120" + words)
+            if max(words) < "\u0100":
+                return self._tokens((words.lower() if self.lower else " " + words).encode().decode("latin-1").translate(self.letters))
+        pieces = _PIECE.findall(words)
+        if sum(map(len, pieces)) != len(words) or not (line or words):
             return None
         if self.lower:
-            return b"".join([self._piece(p.lower()) for p in pieces if p != "\n"])
-        pieces[0] = " " + pieces[0]
+            return b"".join([self._piece(p.lower()) for p in pieces])
+        pieces = ["\n", *pieces] if line else [" " + pieces[0], *pieces[1:]]
         return b"".join([self._piece(p) for p in pieces])
 
+    def _find(self, chunk: str) -> bytes:
+        if (raw := self.chunks.old.get(chunk)) is None and (raw := self._chunk(chunk)) is None:
+            raw = self._whole([chunk if chunk[:1] == "\n" else " " + chunk])[0]
+        self.chunks.put(chunk, raw)
+        return raw
+
+    def _text(self, text: str) -> bytes:
+        if not splittable(text):
+            return self._whole([text])[0]
+        parts = chunks_of(text)
+        head, parts[0] = parts[0], self.none
+        found = list(map(self.chunks.new.get, parts))
+        found[0] = self._head(head)
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._find(parts[at])
+        return b"".join(found)
+
+    def _head(self, chunk: str) -> bytes:
+        """The ids of a text's first chunk, which has no space before it."""
+        pieces = _PIECE.findall(chunk)
+        if sum(map(len, pieces)) != len(chunk):
+            return self._whole([chunk])[0]
+        return b"".join([self._piece(p.lower() if self.lower else p) for p in pieces])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ok = splittable(texts)
-        distinct, numbers, first, begins = cut(pa.array([t for t, k in zip(texts, ok, strict=True) if k], pa.large_string()))
-        parts = list(map(self.chunks.get, distinct))
-        odd = []
-        for i, raw in enumerate(parts):
-            if raw is None:
-                if (raw := self._chunk(distinct[i])) is None:
-                    odd.append(i)
-                else:
-                    parts[i] = raw
-                    self.chunks.put(distinct[i], raw)
-        for i, raw in zip(odd, self._whole([" " + distinct[i] for i in odd]), strict=True):
-            parts[i] = raw
-            self.chunks.put(distinct[i], raw)
-        numbers[begins[:-1]] = len(parts) + np.arange(len(first))  # no space before these
-        parts += self._whole(first)
-        ids, ends = gather(parts, numbers, begins)
-        if ok.all():
-            return ids, ends
-        whole = iter(self._whole([t for t, k in zip(texts, ok, strict=True) if not k]))
-        at = iter(range(len(first)))
-        out = [ids[ends[j := next(at)] : ends[j + 1]] if k else np.frombuffer(next(whole), "<u4") for k in ok]
-        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        raws = []
+        for text in texts:
+            key = hash(text)
+            if (known := self.copies.get(key)) is None or known[0] != text:
+                raw = self._text(text)
+                if self.seen.get(key) is None:
+                    self.seen.put(key, True)
+                elif len(text) < 1 << 16:  # met before: a copy of a document that has many, perhaps
+                    self.copies.put(key, (text, raw))
+            else:
+                raw = known[1]
+            raws.append(raw)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        return np.frombuffer(b"".join(raws), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
