@@ -33,10 +33,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import shared_tokens as S
 from ._common import partitions, pieces
 
-_CHUNK = 4 << 20  # positions at once; a place must fit in _PLACE
+_CHUNK = 1 << 20  # positions at once; a place must fit in _PLACE
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_SORTED = 2 << 20  # bytes whose suffixes are sorted at once
+_SORTED = 1 << 20  # bytes whose suffixes are sorted at once
 
 
 def gram_of(length: int) -> int:
@@ -88,7 +88,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         last = ok & np.concatenate([(place[1:] != place[:-1]) | ~ok[1:], [True]])
         first = np.flatnonzero(begins)
         found.append((hashed[place[first]], first + lo, np.flatnonzero(last) + lo))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    token, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    token = (token ^ (token >> np.uint64(31))) * _ODD[2]  # anchors have small hashes; these are spread evenly
+    return (token ^ (token >> np.uint64(29))) * _ODD[3], first, last
 
 
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,14 +99,24 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def range_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each of some byte ranges."""
-    power = np.ones(len(data) + 1, np.uint64)
-    power[1:] = _ODD[0]
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    hashed = (total[begins + sizes] - total[begins]) * power[len(data) - begins]
-    return (hashed ^ (hashed >> np.uint64(31))) * _ODD[1] + sizes.astype(np.uint64)
+def range_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each of some byte strings that stand end to end."""
+    out = np.zeros(len(sizes), np.uint64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + _CHUNK, "right")))
+        part = data[base : int(ends[hi - 1])]
+        power = np.full(len(part) + 1, _ODD[0])
+        power[0] = 1
+        power = np.cumprod(power, dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        end = ends[lo:hi] - base
+        begin = end - sizes[lo:hi]
+        out[lo:hi] = (total[end] - total[begin]) * power[len(part) - begin]
+        lo = hi
+    return (out ^ (out >> np.uint64(31))) * _ODD[1] + sizes.astype(np.uint64)
 
 
 def ranks_to(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -142,8 +154,9 @@ def earlier_match(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def match_segments(token: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Segments end to end in data: (segment, offset, how many bytes) of what an earlier document has."""
     begin = np.cumsum(size) - size
-    order = np.lexsort((doc, range_hashes(data, begin, size), token))
-    hashed = range_hashes(data, begin, size)[order]
+    hashed = range_hashes(data, size)
+    order = np.lexsort((doc, hashed, token))
+    hashed = hashed[order]
     same = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (hashed[1:] == hashed[:-1])])
     least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # of each kind of segment the smallest document's stands first
     later = doc[order] > doc[order][least]
@@ -229,7 +242,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     if length < 16:
         raise ValueError("length must be 16 at least")
     spark = documents.sparkSession
-    buckets = partitions(spark)
+    buckets = 2 * partitions(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = rows.where("doc_id is not null and octet_length(text) >= " + str(int(length)))
 
@@ -322,7 +335,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         if made:
             token, doc_id, h, start, width, data = (np.concatenate(x) for x in zip(*made, strict=True))
             begin = np.cumsum(width) - width
-            hashed = range_hashes(data, begin, width)
+            hashed = range_hashes(data, width)
             order = np.lexsort((doc_id, hashed, token))
             same = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (hashed[order][1:] == hashed[order][:-1])])
             least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
