@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -23,6 +24,7 @@ _RUNS = ("  ", " \n", "\n ", "\n\n\n")
 _RARE = [c for c in _WHITE if c not in " \n"]
 _RARE_ASCII = [c for c in _RARE if c.isascii()]
 _CACHE_ENTRIES = 450_000  # of a dictionary of chunks, of which a worker has two: some 180 MB
+_ID = attrgetter("id")
 #: A piece that is a match of the pre-tokenizer on its own, whatever stands around it in a chunk.
 _PIECE = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[!-&(-/:-@\[-`{}~]+")
 
@@ -67,6 +69,14 @@ def splittable(text: str) -> bool:
     return not any(c in text and (c + " " in text or c + "\n" in text or "\n\n" + c in text) for c in (_RARE_ASCII if text.isascii() else _RARE))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def chunks_of(text: str) -> list[str]:
     """Chunks without their first space, or with their first line feed; the first has neither, or a line feed."""
     return text.replace("\n", " \n").split(" ")
@@ -83,7 +93,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         with open(path) as f:
             self.lower = "Lowercase" in json.dumps(json.load(f).get("normalizer"))
@@ -96,7 +106,7 @@ class ChunkEncoder:
 
     def _tokens(self, seen: str) -> bytes:
         """The ids of a piece in the vocabulary's letters."""
-        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return array("I", map(_ID, self.tokenize(seen))).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if (raw := self.pieces.get(piece)) is None:
@@ -108,11 +118,8 @@ class ChunkEncoder:
         """The ids of a chunk that is made of plain pieces, else None."""
         line = chunk[:1] == "\n"
         words = chunk[line:]
-        if words.isalpha() and not line:
-            if words.isascii():  # letters that stand for themselves
-                return self._tokens(words.lower() if self.lower else "\u0120" + words)
-            if max(words) < "\u0100":
-                return self._tokens((words.lower() if self.lower else " " + words).encode().decode("latin-1").translate(self.letters))
+        if words.isalpha() and not line and max(words) < "\u0100":
+            return self._tokens((words.lower() if self.lower else " " + words).encode().decode("latin-1").translate(self.letters))
         pieces = _PIECE.findall(words)
         if sum(map(len, pieces)) != len(words) or not (line or words):
             return None
@@ -122,14 +129,22 @@ class ChunkEncoder:
         return b"".join([self._piece(p) for p in pieces])
 
     def _find(self, chunk: str) -> bytes:
-        if (raw := self.chunks.old.get(chunk)) is None and (raw := self._chunk(chunk)) is None:
-            raw = self._whole([chunk if chunk[:1] == "\n" else " " + chunk])[0]
-        self.chunks.put(chunk, raw)
+        chunks = self.chunks
+        if (raw := chunks.old.get(chunk)) is None:
+            if chunk.isascii() and chunk.isalpha():  # letters that stand for themselves
+                raw = array("I", map(_ID, self.tokenize(chunk.lower() if self.lower else "\u0120" + chunk))).tobytes()
+            elif (raw := self._chunk(chunk)) is None:
+                raw = self._whole([chunk if chunk[:1] == "\n" else " " + chunk])[0]
+        if len(chunks.new) >= chunks.most:
+            chunks.old, chunks.new = chunks.new, {}
+        chunks.new[chunk] = raw
         return raw
 
     def _text(self, text: str) -> bytes:
         if not splittable(text):
             return self._whole([text])[0]
+        if self.lower and _latin(text):  # nothing there composes, and each letter has one lower case
+            text = text.lower()
         parts = chunks_of(text)
         head, parts[0] = parts[0], self.none
         found = list(map(self.chunks.new.get, parts))
