@@ -1,6 +1,7 @@
 """Basalt: an analytics engine that plans with Spark and answers like a columnar SQL database."""
 
 from .catalog import load_tables, table
+from .engine import Engine
 from .session import build_session
 
-__all__ = ["build_session", "load_tables", "table"]
+__all__ = ["Engine", "build_session", "load_tables", "table"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import aggregate as A
 from ..functions import scalar as X
 from ..operators import aggregate, join, order, scan
 from ..registry import frames, op, sql
+from ..sources import files
 from ..streaming import windows
 
 # --- scans and sinks ------------------------------------------------------------------------------
@@ -38,6 +40,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count("*").alias("n"), F.min("s_name").alias("lo"))
 
 
+_NATION = "n_nationkey int, n_name string, n_regionkey int"
+for _kind in files.DELIMITERS:
+
+    @op(f"source_{_kind}", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    def _(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        path = files.scratch(spark, kind)
+        files.write_delimited(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"), path, kind)
+        return files.read_delimited(spark, path, _NATION, kind)
+
+
+@op("sink_partitioned_parquet", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "orders")
+    files.write_parquet(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), path, ["o_orderstatus"])
+    return files.read_parquet(spark, path).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+
+
+@op("engine_parameters", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_type = 'PROMO'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, sf_dir, ["part"]).execute("SELECT p_partkey FROM part WHERE p_size > :size AND p_type = :kind", {"size": 40, "kind": "PROMO"})
+
+
+@op("engine_composed", "SELECT n_regionkey, count(*) AS n FROM (SELECT n_regionkey, n_name FROM nation WHERE n_nationkey > 3) t GROUP BY n_regionkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir, ["nation"])
+    inner = engine.execute("SELECT n_regionkey, n_name FROM nation WHERE n_nationkey > 3")
+    return engine.execute("SELECT n_regionkey, count(*) AS n FROM {inner} GROUP BY n_regionkey", inner=inner)
+
+
 sql("values_scan", "SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b)")
 sql("empty_result", "SELECT n_name FROM nation WHERE 1 = 0")
 sql("dummy_scan", "SELECT CAST(42 AS BIGINT) AS answer, 'x' AS s")
@@ -343,6 +374,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("fn_struct", "SELECT s.a AS a, s.b AS b FROM (SELECT named_struct('a', n_nationkey, 'b', n_name) AS s FROM nation) t", "SELECT s.a AS a, s.b AS b FROM (SELECT struct_pack(a := n_nationkey, b := n_name) AS s FROM nation) t")
 sql("fn_in_list_strings", "SELECT event_id, event_type IN ('click', 'view') AS v, event_type NOT IN ('error') AS w FROM events")
+sql("fn_error", "SELECT CASE WHEN count(*) > 100 THEN CAST(raise_error('too many') AS INT) ELSE 1 END AS v FROM region", "SELECT CASE WHEN count(*) > 100 THEN CAST(error('too many') AS INT) ELSE 1 END AS v FROM region")
 sql("fn_error_guard", "SELECT CASE WHEN count(*) > 1 THEN 'many' ELSE 'one' END AS v FROM region")
 
 # --- set operations, windows and more -------------------------------------------------------------

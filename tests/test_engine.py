@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basalt import session
+from basalt import Engine, session
 from basalt.functions import aggregate as A
 from basalt.functions import scalar as X
 from basalt.operators import aggregate, join, order, scan
@@ -173,3 +173,23 @@ def test_stream_run_goes_on_from_its_checkpoint(spark, tmp_path):
         stream = windows.deduplicate(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "ts", "k", late="10 days")
         windows.run_once(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_engine_options(spark, data):
+    engine = Engine(spark, data, ["nation"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    engine.set("scan_task_batch_size", "64 MiB")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(64 << 20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    engine.set("scan_cache_level", "table_host")
+    assert "InMemoryTableScan" in engine.explain("SELECT n_name FROM nation")
+    engine.set("scan_cache_level", "none")
+    for option, value, error in (("scan_cache_level", "tape", ValueError), ("no_such", 1, KeyError), ("processing_memory", "1 GB", ValueError)):
+        with pytest.raises(error):
+            engine.set(option, value)
+
+
+def test_scalar_subqueries_of_many_rows_fail(spark, data):
+    engine = Engine(spark, data, ["nation", "region"])
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        engine.execute("SELECT (SELECT n_name FROM nation) AS x FROM region").collect()
