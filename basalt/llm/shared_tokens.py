@@ -24,11 +24,11 @@ _ARROW = pa.schema(
 DOCUMENT, TOKENS, RETURNED = 0, 1, 2
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string, byte planes apart so that like bytes stand together."""
     head = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(2, "little") + head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(len(head).to_bytes(2, "little") + head + b"".join(planes))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -35,6 +35,7 @@ from ._common import partitions, pieces
 
 _CHUNK = 1 << 20  # positions at once; a place must fit in _PLACE
 _PLACE = np.uint64((1 << 24) - 1)
+_TOKEN = ~np.uint64(0xFFFF)  # 48 bits tell anchors apart well enough: those that meet by chance only cost a look
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SORTED = 1 << 20  # bytes whose suffixes are sorted at once
 
@@ -90,7 +91,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         found.append((hashed[place[first]], first + lo, np.flatnonzero(last) + lo))
     token, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
     token = (token ^ (token >> np.uint64(31))) * _ODD[2]  # anchors have small hashes; these are spread evenly
-    return (token ^ (token >> np.uint64(29))) * _ODD[3], first, last
+    return (token ^ (token >> np.uint64(29))) * _ODD[3] & _TOKEN, first, last
 
 
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -216,7 +217,7 @@ def _by_document(doc_id: np.ndarray, h: np.ndarray, n: int, *columns: np.ndarray
     to = _key_bucket(doc_id, h, n)
     order = np.lexsort((h, doc_id, to))
     edges = np.append(S.runs(to[order]), len(order))
-    return [(_CUTS, int(to[order[a]]), S.pack(doc_id[order[a:b]], h[order[a:b]], *(c[order[a:b]] for c in columns)), None, None) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return [(_CUTS, int(to[order[a]]), S.pack(doc_id[order[a:b]], h[order[a:b]].astype(np.int32), *(c[order[a:b]] for c in columns)), None, None) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def _bytes_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -224,7 +225,8 @@ def _bytes_of(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _hash(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    """Tells the texts of one doc_id apart."""
+    return xxhash.xxh32_intdigest(text) >> 1
 
 
 def _end_to_end(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +237,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     """Remove from documents (doc_id, text) each byte of a run of `length` bytes that also begins in a document of smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text, kept_text
-    (what is left; a character that was cut apart goes whole) and row (a struct of the columns named in `keep`).  Texts count as UTF-8 bytes, null as empty; runs are judged on the input.
+    (what is left; a character that was cut apart goes whole, null stays null) and row (a struct of the columns named in `keep`).  Texts count as UTF-8 bytes, null as empty; runs are judged on the input.
     Rows of one doc_id take nothing from each other.  A row with a null doc_id stays whole and takes nothing from others.
     Rows come back one each, other columns are ignored, an empty table gives no rows.  length is 16 at least.
     """
@@ -275,17 +277,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             sizes = np.diff(begins)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 some = by[a:b]
-                out.append((_LIST, int(to[some[0]]), S.pack(doc_id[at[some]], h[at[some]], sizes[some], token[spread(begins[some], sizes[some])]), None, None))
+                out.append((_LIST, int(to[some[0]]), S.pack(doc_id[at[some]], h[at[some]].astype(np.int32), sizes[some], token[spread(begins[some], sizes[some])]), None, None))
         return pa.Table.from_batches([_table(out)])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
             texts = _bytes_of(batch)
             h = np.array([_hash(t) for t in texts], np.int64)
             ids = batch.column("doc_id").to_pylist()
             to = _key_bucket(np.array([i or 0 for i in ids], np.int64), h, buckets)
-            yield _table([(_TEXT, p, pack.compress(t), i, x) for p, t, i, x in zip(to.tolist(), texts, ids, h.tolist(), strict=True)])
+            null = batch.column("text").is_null().to_pylist()
+            yield _table([(_TEXT, p, None if no else pack.compress(t), i, x) for p, t, i, x, no in zip(to.tolist(), texts, ids, h.tolist(), null, strict=True)])
 
     def carry_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -348,7 +351,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             edges = np.append(S.runs(to), len(to))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 s = sent[a:b]
-                out.append((_SEGMENTS, int(to[a]), S.pack(token[s], doc_id[s], h[s], start[s], width[s].astype(np.int32), data[spread(begin[s], width[s])]), None, None))
+                out.append((_SEGMENTS, int(to[a]), S.pack((token[s] >> np.uint64(16)).astype(np.uint32), doc_id[s], h[s].astype(np.int32), start[s], width[s].astype(np.int32), data[spread(begin[s], width[s])], level=3), None, None))
         return pa.Table.from_batches([_table(out)])
 
     def match(table: pa.Table) -> pa.Table:
@@ -357,7 +360,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         blobs = table.filter(pa.array(kinds == _SEGMENTS)).column("blob").to_pylist()
         if blobs:
             token, doc_id, h, start, width, data = (np.concatenate(x) for x in zip(*map(S.unpack, blobs), strict=True))
-            width = width.astype(np.int64)
+            width, h = width.astype(np.int64), h.astype(np.int64)
             for segment, offset, size in match_segments(token, doc_id, width, data, length):
                 if len(segment):
                     out.append(pa.Table.from_batches([_table(_by_document(doc_id[segment], h[segment], buckets, start[segment] + offset, size.astype(np.int32)))]))
@@ -370,6 +373,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         cuts: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         if blobs:
             doc_id, h, start, size = (np.concatenate(x) for x in zip(*map(S.unpack, blobs), strict=True))
+            h = h.astype(np.int64)
             order = np.lexsort((start, h, doc_id))
             doc_id, h, start, size = doc_id[order], h[order], start[order], size[order]
             new = S.runs(np.stack([doc_id, h], 1).view("i8,i8").reshape(-1))
@@ -377,7 +381,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                 cuts[int(doc_id[a]), int(h[a])] = start[a:b], start[a:b] + size[a:b]
         unpack, out = zstandard.ZstdDecompressor(), []
         for doc, x, blob in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "h", "blob")), strict=True):
-            raw = unpack.decompress(blob)
+            raw = b"" if blob is None else unpack.decompress(blob)
             kept, spans = raw, 0
             if (found := cuts.get((doc, x))) is not None:
                 start, end = found[0], np.maximum.accumulate(found[1])
@@ -388,7 +392,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                     rest.append(raw[at:a])
                     at = b
                 kept = b"".join([*rest, raw[at:]])
-            out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+            out.append((doc, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text and blob is not None else None))
         types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
         made = {name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types[: 5 + keep_text])}
         return pa.table(made | ({"row": texts.column("row")} if keep_text else {}))
