@@ -116,7 +116,7 @@ def test_suffix_dedup_in_small_chunks(documents, texts, monkeypatch):
 def test_suffix_dedup_keeps_rows(documents, texts):
     rows = suffix_dedup.remove_repeats(documents, 50, keep_text=True, keep=documents.columns).collect()
     assert Counter((r.doc_id, r.row.source, r.row.component_id) for r in rows) == Counter((i, f"s{k % 2}", "x") for k, (i, _) in enumerate(texts))
-    assert all(r.kept_text == (r.row.text or "") for r in rows if not r.n_removed)
+    assert all(r.kept_text == r.row.text for r in rows if not r.n_removed)
 
 
 def test_too_short_runs_are_refused(documents):

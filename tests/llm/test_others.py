@@ -168,9 +168,9 @@ def test_pipeline_stages(spark, documents, texts, union):
     assert second.columns == docs.columns
     gone = {(d, n): r for d, n, r, _, _ in brute_cuts(given)}
     for r in second.collect():
-        raw = next((t or "") for d, t in given if d == r.doc_id)
-        removed = gone[r.doc_id, len(raw.encode())]
-        assert (r.text or "") == raw if not removed else len((r.text or "").encode()) <= len(raw.encode()) - removed and r.n_chars == len(r.text)
+        raw = next(t for d, t in given if d == r.doc_id)
+        removed = gone[r.doc_id, len((raw or "").encode())]
+        assert r.text == raw if not removed else len(r.text.encode()) <= len(raw.encode()) - removed and r.n_chars == len(r.text)
     kept = corpus_pipeline.language_id(spark, docs, "")
     assert kept.columns == docs.columns
     assert not {r.doc_id for r in kept.collect()} & {d for d, t in given if not any(c.isalpha() for c in t or "")}
