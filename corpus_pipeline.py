@@ -28,9 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages of 50 bytes that an earlier document has go; n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs, 50, keep_text=True, keep=docs.columns)
+    cut = suffix_dedup.remove_repeats(docs, 50, keep_text=True, keep=[c for c in docs.columns if c != "text"])
     removed = F.col("n_removed") > 0
-    new = {"text": F.when(removed, F.col("kept_text")).otherwise(F.col("row.text"))}
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(removed, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
