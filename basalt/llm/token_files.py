@@ -148,8 +148,9 @@ def read_document(path: str, file: str, row: int) -> np.ndarray:
     return np.frombuffer(unpacker.decompress(f.read_at(int(ends[row + 1] - ends[row]), int(ends[row]))), dtype)
 
 
-def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Every document of the files: doc_id, start (ids before it, over all files), n_tokens, ids_crc32, ids_le32 (the ids, 32-bit little-endian)."""
+def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Every document of the files: doc_id, start (ids before it, over all files), n_tokens, ids_crc32 and, with keep_ids, ids_le32 (the ids, 32-bit little-endian)."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids_le32 binary" * keep_ids
     rows, start, before = sorted(manifest.collect()), 0, []  # a row per file
     for r in rows:
         before.append((r.file, start))
@@ -171,14 +172,14 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                             pa.array(docs[lo:hi], mask=docs[lo:hi] == _NULL),
                             pa.array(base + tokens[lo:hi]),
                             pa.array([len(x) for x in ids], pa.int64()),
-                            pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                            pa.array([x.tobytes() for x in ids], pa.binary()),
+                            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                            *([pa.array([x.tobytes() for x in ids], pa.binary())] if keep_ids else []),
                         ],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids_le32"],
+                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids_le32"][: 4 + keep_ids],
                     )
                     lo = hi
 
     if not before:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids_le32 binary")
+        return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(before, "file string, base long").repartition(len(before))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids_le32 binary")
+    return listed.mapInArrow(read, schema)

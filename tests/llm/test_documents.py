@@ -191,7 +191,7 @@ def test_chunks_encode_as_whole_texts(name, given_):
 def test_token_files(spark, documents, texts, tmp_path):
     path = f"file://{tmp_path}/tokens"
     manifest = token_files.write_tokens(documents, tokenizer("word_bpe_49k.json"), path, end_id=1, files=3)
-    rows = token_files.read_tokens(spark, path, manifest).collect()
+    rows = token_files.read_tokens(spark, path, manifest, keep_ids=True).collect()
     library = load(tokenizer("word_bpe_49k.json"))
     want = Counter()
     for doc, text in texts:
