@@ -107,7 +107,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 own = np.concatenate([ids[a:b], end])
                 for k, (start, n) in enumerate(cut_lengths(len(own), capacity)):
-                    out.append((doc, k, start, n, zlib.crc32(own[start : start + n].tobytes()), part, seen.get(n, 0)))
+                    out.append((doc, k, start, n, zlib.crc32(own[start : start + n]), part, seen.get(n, 0)))
                     seen[n] = seen.get(n, 0) + 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"]
