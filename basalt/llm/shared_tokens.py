@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-FLUSH = 1_500_000  # tokens at once in a task
+FLUSH = 800_000  # tokens at once in a task
 _MARK = np.uint32(0xFFFFFFFF)
 SCHEMA = "kind int, part long, blob binary, doc_id long, n long, sig binary, ref long, first boolean"
 _ARROW = pa.schema(
