@@ -159,8 +159,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(z / model.temperature)
         right = p.argmax(1) == y[kept]
-        if right.any():  # at most the share `reject` of rightly named rows goes, and nothing surer than a half
-            model.threshold = float(min(0.5, np.quantile(p.max(1)[right], reject)))
+        if right.any():  # at most the share `reject` of rightly named rows goes, and nothing well above chance
+            model.threshold = float(min(0.5, 1.2 / len(languages), np.quantile(p.max(1)[right], reject)))
     return model
 
 
@@ -169,7 +169,7 @@ def folds(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_languages(documents: DataFrame, per_language: int = 1500, most_languages: int = 64, buckets: int = 1 << 14) -> Model:
+def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages: int = 64, buckets: int = 1 << 14) -> Model:
     """Learn from some per_language labelled rows of each of the most_languages commonest languages.
 
     The sample is bounded by these parameters, as a share of each language is drawn by a hash of doc_id from the
