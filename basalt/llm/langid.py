@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +24,7 @@ from ._common import pieces, texts_of
 
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3, 4)
-_SLICE = 1 << 20  # characters at once
+_SLICE = 1 << 18  # characters at once
 
 
 @lru_cache(1)
@@ -195,24 +196,26 @@ def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages
 
 
 def predict_languages(documents: DataFrame, model: Model) -> DataFrame:
-    """Predict every document's language from its whole text: doc_id, lang_pred, score, rejected, in the documents' own order.
+    """Predict every document's language from its whole text: row (a struct of the documents' columns), lang_pred, score, rejected.
 
     A text that is null or has no letter gets `und`, a score of 0 and is rejected.  Rows come back one each.
     """
     shared = model
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        with_text = (pa.RecordBatch.from_arrays([b.column("row"), pc.struct_field(b.column("row"), "text")], ["row", "text"]) for b in batches)
+        for batch in pieces(with_text, "text"):
             languages, scores, rejected = shared.predict(texts_of(batch))
-            keep = [batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected)], [*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"])
 
-    schema = StructType(list(documents.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return documents.mapInArrow(predict, schema)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(predict, schema)
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """Languages of all documents (doc_id, text, lang): doc_id, held_out, lang_pred, score, rejected."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = model or fit_languages(rows)
-    return predict_languages(rows.select("doc_id", "text"), model).select("doc_id", folds().alias("held_out"), "lang_pred", "score", "rejected")
+    found = predict_languages(rows.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score", "rejected")
+    return found.select("doc_id", folds().alias("held_out"), "lang_pred", "score", "rejected")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from ._common import release_memory
+
 FLUSH = 800_000  # tokens at once in a task
 _MARK = np.uint32(0xFFFFFFFF)
 SCHEMA = "kind int, part long, blob binary, doc_id long, n long, sig binary, ref long, first boolean"
@@ -139,6 +141,8 @@ def share(buckets: int, cap: int):
             common = np.repeat(np.where(known, cap, np.minimum(sizes, cap)).astype(np.uint8), sizes)
             if keep.any():
                 out.append(pa.Table.from_batches([rows(RETURNED, returned(tokens[keep], refs[keep], common[keep], buckets))]))
+            del got, tokens, refs, order, starts, sizes, known, keep, common
+            release_memory()
         return pa.concat_tables([t.cast(_ARROW) for t in out])
 
     return reduce
