@@ -17,8 +17,7 @@ from basalt.llm._common import written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with too little certainty go, as do those without a letter."""
     model = langid.fit_languages(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string"))
-    return langid.predict_languages(rows, model).where(~F.col("rejected")).select("row.*")
+    return langid.predict_languages(docs, model).where(~F.col("rejected")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
