@@ -2,13 +2,17 @@
 
 A text's features are its letters' 1- to 4-grams (lower case, within words), hashed to `buckets`
 rows of an embedding.  Their average goes through a linear layer; both are learned in numpy by
-stochastic gradient descent from a bounded sample of labelled rows.  A temperature and a rejection
-threshold are set on rows of the sample that the descent didn't see.
+stochastic gradient descent from a bounded sample of labelled rows.  A temperature and the bounds of
+rejection are set on rows of the sample that the descent didn't see, whole and cut to a few words.
+
+The softmax only compares languages, so it can't tell text of none of them.  That is told by how common a
+text's n-grams are in the language that has them most, against what texts of as many n-grams show.
 """
 
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,6 +29,7 @@ from ._common import pieces, texts_of
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3, 4)
 _SLICE = 1 << 18  # characters at once
+_MARGIN = 1.5  # how far beyond the least of held-back texts a text must be to be rejected
 
 
 @lru_cache(1)
@@ -54,15 +59,40 @@ def features(codes: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def counts(text: str, buckets: int) -> np.ndarray:
-    total = np.zeros(buckets, np.float64)
+    return sum(counts_by_order(text, buckets))
+
+
+def counts_by_order(text: str, buckets: int) -> list[np.ndarray]:
+    total = [np.zeros(buckets, np.float64) for _ in _ORDERS]
     codes = _codes(text)
     for lo in range(0, len(codes), _SLICE):  # n-grams that begin in the slice
         stop = min(len(codes), lo + _SLICE)
-        for hashed, at in features(codes[lo : stop + _ORDERS[-1] - 1], buckets):
-            total += np.bincount(hashed[at < stop - lo], minlength=buckets)
+        for n, (hashed, at) in enumerate(features(codes[lo : stop + _ORDERS[-1] - 1], buckets)):
+            total[n] += np.bincount(hashed[at < stop - lo], minlength=buckets)
     return total
 
 
+def few_words(text: str) -> str:
+    """The first words of a text, one to eight by its checksum."""
+    head = text[:400]
+    return " ".join(head.split()[: 1 + zlib.crc32(head.encode("utf-8", "surrogatepass")) % 8])
+
+
+@dataclass
+class Familiarity:
+    """How common n-grams are, and what to expect of a text."""
+
+    table: np.ndarray  # for each bucket the logarithm of its share in the language that has it most
+    usual: np.ndarray  # the mean of that for n-grams of each order
+    spread: tuple[float, float]  # variance of a text's mean: of long texts, and what a single n-gram adds
+    least: float  # in standard deviations
+
+    def deviation(self, total: np.ndarray, orders: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Standard deviations from the usual mean, by the texts' sums, n-grams of each order and distinct ones."""
+        mean = (total - orders @ self.usual) / np.maximum(orders.sum(1), 1)
+        return mean / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(distinct, 1))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -70,17 +100,24 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiarity: Familiarity | None = None  # None: too few rows to tell
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the mean logits, and how many n-grams it has."""
+        total, seen = self._sums(texts, self.table)
+        seen = seen.sum(1)
+        return total / np.maximum(seen, 1)[:, None] + self.bias, seen
+
+    def _sums(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sum of its n-grams' rows of the table, and how many n-grams of each order it has."""
         lowered = [_codes(t) for t in texts]
-        total, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        total, seen = np.zeros((len(texts), table.shape[1])), np.zeros((len(texts), len(_ORDERS)))
         gap = np.zeros(1, np.uint32)
         lo = 0
         while lo < len(lowered):
             if len(lowered[lo]) > _SLICE:
-                n = counts(texts[lo], len(self.table))
-                total[lo], seen[lo] = n @ self.table, n.sum()
+                n = counts_by_order(texts[lo], len(table))
+                total[lo], seen[lo] = sum(n) @ table, [x.sum() for x in n]
                 lo += 1
                 continue
             hi, size = lo, 0
@@ -90,25 +127,36 @@ class Model:
             hi = max(hi, lo + 1)
             begins = np.cumsum([0, *(len(c) + 1 for c in lowered[lo:hi])])
             codes = np.concatenate([x for c in lowered[lo:hi] for x in (c, gap)])
-            for hashed, at in features(codes, len(self.table)):
+            for n, (hashed, at) in enumerate(features(codes, len(table))):
                 cut = np.searchsorted(at, begins)
                 some = cut[1:] > cut[:-1]
                 if some.any():
-                    total[lo:hi][some] += np.add.reduceat(self.table[hashed], cut[:-1][some], axis=0)
-                    seen[lo:hi] += np.diff(cut)
+                    total[lo:hi][some] += np.add.reduceat(table[hashed], cut[:-1][some], axis=0)
+                    seen[lo:hi, n] += np.diff(cut)
             lo = hi
-        return total / np.maximum(seen, 1)[:, None] + self.bias, seen
+        return total, seen
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        z, seen = self.logits(texts)
-        p = softmax(z / self.temperature)
+        known_by = [self.familiarity.table[:, None]] if self.familiarity else []
+        total, orders = self._sums(texts, np.hstack([self.table, *known_by]))
+        seen = orders.sum(1)
+        p = softmax((total[:, : len(self.languages)] / np.maximum(seen, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(1)
         known = seen > 0
         score = np.where(known, p[np.arange(len(p)), best], 0.0)
-        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < self.threshold)
+        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < self.threshold) | self._strange(texts, total[:, -1], orders)
+
+    def _strange(self, texts: list[str], total: np.ndarray, orders: np.ndarray) -> np.ndarray:
+        """Whether a text's n-grams are too rare for any of the languages."""
+        strange = np.zeros(len(texts), bool)
+        if self.familiarity:  # distinct n-grams are no more than all, so what passes with all of them passes
+            for k in np.flatnonzero(self.familiarity.deviation(total, orders, orders.sum(1)) < self.familiarity.least).tolist():
+                distinct = np.array([np.count_nonzero(counts(texts[k], len(self.table)))])
+                strange[k] = self.familiarity.deviation(total[k : k + 1], orders[k : k + 1], distinct)[0] < self.familiarity.least
+        return strange
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -116,8 +164,33 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 1.0, reject: float = 0.001, seed: int = 7) -> Model:
-    """Fit a model to (language, buckets, how often); a fifth of the rows calibrates it."""
+@dataclass
+class Sample:
+    """A text's buckets, how often each, and its n-grams of each order."""
+
+    at: np.ndarray
+    n: np.ndarray
+    orders: np.ndarray
+
+    @classmethod
+    def of(cls, text: str, buckets: int) -> Sample:
+        by_order = counts_by_order(text, buckets)
+        whole = sum(by_order)
+        at = np.flatnonzero(whole)
+        return cls(at.astype("<i4"), whole[at].astype("<f4"), np.array([x.sum() for x in by_order], "<f8"))
+
+    def packed(self) -> bytes:
+        return len(self.at).to_bytes(8, "little") + self.orders.tobytes() + self.at.tobytes() + self.n.tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Sample:
+        n = int.from_bytes(raw[:8], "little")
+        begin = 8 + 8 * len(_ORDERS)
+        return cls(np.frombuffer(raw, "<i4", n, begin), np.frombuffer(raw, "<f4", n, begin + 4 * n), np.frombuffer(raw, "<f8", len(_ORDERS), 8))
+
+
+def train(rows: list[tuple[str, Sample, Sample]], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 1.0, reject: float = 0.001, seed: int = 7) -> Model:
+    """Fit a model to (language, whole text, its first words); a fifth of the rows calibrates it."""
     languages = sorted({r[0] for r in rows})
     if not languages:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 1.0)
@@ -128,11 +201,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
     fit = np.array([k for k in order.tolist() if k not in held])
     embedding, weight, bias = random.normal(0, 1, (buckets, dim)), np.zeros((dim, len(languages))), np.zeros(len(languages))
 
-    def dense(some) -> np.ndarray:
+    def dense(some: list[Sample]) -> np.ndarray:
         x = np.zeros((len(some), buckets))
-        for i, k in enumerate(some):
-            if len(rows[k][1]):
-                x[i, rows[k][1]] = rows[k][2] / rows[k][2].sum()
+        for i, s in enumerate(some):
+            if len(s.at):
+                x[i, s.at] = s.n / s.n.sum()
         return x
 
     steps, at = epochs * -(-len(fit) // 32), 0
@@ -140,7 +213,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
         random.shuffle(fit)
         for lo in range(0, len(fit), 32):
             some = fit[lo : lo + 32]
-            x, lr = dense(some), rate * (1 - at / steps)
+            x, lr = dense([rows[k][1] for k in some]), rate * (1 - at / steps)
             hidden = x @ embedding
             p = softmax(hidden @ weight + bias)
             p[np.arange(len(some)), y[some]] -= 1
@@ -153,18 +226,40 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
             at += 1
     model = Model(languages, embedding @ weight, bias, 1.0, 0.0)
     if len(held) >= 20:
-        kept = np.array(sorted(held))
-        z = np.concatenate([dense(kept[k : k + 256]) @ model.table + bias for k in range(0, len(kept), 256)])
-        grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(kept)), y[kept]], 1e-12)).mean() for t in grid]
+        kept = [(y[k], s) for k in sorted(held) for s in rows[k][1:] if len(s.at)]
+        true, texts = np.array([t for t, _ in kept], int), [s for _, s in kept]
+        z = np.concatenate([np.zeros((0, len(languages))), *(dense(texts[k : k + 256]) @ model.table + bias for k in range(0, len(texts), 256))])
+        grid = np.geomspace(0.001, 100, 100)
+        loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(texts)), true], 1e-12)).mean() for t in grid] if texts else [0.0]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(z / model.temperature)
-        right = p.argmax(1) == y[kept]
-        if right.any():  # at most the share `reject` of rightly named rows goes, and nothing well above chance
-            model.threshold = float(min(0.5, 1.2 / len(languages), np.quantile(p.max(1)[right], reject)))
+        right = p.argmax(1) == true
+        if right.any():  # what the share `reject` of rightly named texts falls short of, and well below
+            model.threshold = float(np.quantile(p.max(1)[right], reject)) / _MARGIN
+            model.familiarity = learn_familiarity([(y[k], rows[k][1]) for k in fit], texts, buckets, len(languages), reject)
     return model
 
 
+def learn_familiarity(fit: list[tuple[int, Sample]], texts: list[Sample], buckets: int, languages: int, reject: float) -> Familiarity:
+    """Shares of buckets from the rows learned from, what is usual from held-back texts."""
+    seen = np.zeros((buckets, languages))
+    for k, s in fit:
+        seen[s.at, k] += s.n
+    table = np.log(((seen + 0.5) / (seen.sum(0) + 0.5 * buckets)).max(1))
+    total, orders = np.array([table[s.at] @ s.n for s in texts]), np.array([s.orders for s in texts])
+    size, distinct = orders.sum(1), np.array([len(s.at) for s in texts])
+    mean, share = (total / size).mean(), orders / size[:, None]
+    ridge = 0.01 * len(texts) * np.eye(len(_ORDERS))  # orders' shares go together, so that least squares alone would wander
+    usual = mean + np.linalg.solve(share.T @ share + ridge, share.T @ (total / size - mean))
+    squares = ((total - orders @ usual) / size) ** 2
+    long = distinct >= np.median(distinct)
+    floor = float(max(squares[long].mean(), 1e-6))
+    each = float(max(((squares - floor) * distinct)[~long].mean(), 1e-6)) if not long.all() else 1e-6
+    found = Familiarity(table, usual, (floor, each), 0.0)
+    found.least = _MARGIN * min(-1.0, float(np.quantile(found.deviation(total, orders, distinct), reject)))
+    return found
+
+
 def folds(doc_id="doc_id"):
     """Whether a document is held out: crc32 of its id as text, modulo 5, is 0.  A null id isn't, nor is it learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -183,22 +278,20 @@ def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [counts(t, buckets) for t in texts_of(batch)]
-            at = [np.flatnonzero(c) for c in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<f4").tobytes() for c, a in zip(found, at, strict=True)], pa.binary())],
-                ["lang", "at", "n"],
-            )
-
-    sampled = chosen.select("lang", "text").mapInArrow(featurize, "lang string, at binary, n binary")
+            texts = texts_of(batch)
+            whole, head = ([Sample.of(t, buckets).packed() for t in some] for some in (texts, map(few_words, texts)))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(whole, pa.binary()), pa.array(head, pa.binary())], ["lang", "whole", "head"])
+
+    sampled = chosen.select("lang", "text").mapInArrow(featurize, "lang string, whole binary, head binary")
     got = sampled.limit(2 * per_language * most_languages).collect()
-    return train(sorted(((r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<f4")) for r in got), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())), buckets)
+    return train([(r.lang, Sample.unpacked(r.whole), Sample.unpacked(r.head)) for r in sorted(got, key=lambda r: (r.lang, r.whole, r.head))], buckets)
 
 
 def predict_languages(documents: DataFrame, model: Model) -> DataFrame:
     """Predict every document's language from its whole text: row (a struct of the documents' columns), lang_pred, score, rejected.
 
-    A text that is null or has no letter gets `und`, a score of 0 and is rejected.  Rows come back one each.
+    A text that is null or has no letter gets `und`, a score of 0 and is rejected.  A text of none of the learned
+    languages is rejected too; its score only tells how the languages compare on it.  Rows come back one each.
     """
     shared = model
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basalt.llm import bpe, langid, ngram_join, packing, suffix_dedup, token_files
 from basalt.llm.queries import tokenizer
@@ -300,6 +302,20 @@ def test_languages_by_held_out_accuracy(spark, data):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+@pytest.mark.parametrize("languages", [["en", "fr", "de", "es"], ["en", "fr"], ["de"]])
+def test_strange_texts_are_rejected_and_clean_ones_stay(spark, data, languages):
+    docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet").where(F.col("lang").isin(languages))
+    r = random.Random(4)
+    letters = {"Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "CJK": "".join(map(chr, range(0x4E00, 0x5200))), "random": "abcdefghijklmnopqrstuvwxyz", "consonants": "bcdfghjklmnpqrstvwxz"}
+    strange = [" ".join("".join(r.choice(x) for _ in range(r.randint(3, 9))) for _ in range(n)) for x in letters.values() for n in (10, 30, 100) * 5]
+    held = [x.text or "" for x in docs.where(langid.folds()).collect()]
+    held, short = ([t for t in some if any(c.isalpha() for c in t)] for some in (held, [" ".join(t.split()[: r.randint(3, 8)]) for t in held]))
+    rows = [(k, t) for k, t in enumerate(strange + held + short)]
+    found = {x.doc_id: x.rejected for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")), langid.fit_languages(docs)).collect()}
+    assert np.mean([found[k] for k in range(len(strange))]) > 0.97
+    assert np.mean([found[k] for k in range(len(strange), len(rows))]) < 0.01
+
+
 def test_long_texts_are_read_whole():
     text = "été " * 400_000 + "zzz"
     total = langid.counts(text, 1 << 12)
