@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ._common import connected_components, partitions, written
 
 _BATCH = 4096
+_NONE = np.iinfo(np.int64).min  # the score where fewer than k candidates were seen
 
 
 def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +61,8 @@ class TopK:
         self.order = np.argsort(-mass, kind="stable")  # heavy dimensions first
         self.queries = queries[:, self.order].astype(np.float64)
         self.left = self._left(self.queries)
-        self.score = np.zeros((len(ids), 0), np.int64)
-        self.found = np.zeros((len(ids), 0), np.int64)
+        self.score = np.full((len(ids), k), _NONE)
+        self.found = np.zeros((len(ids), k), np.int64)
 
     def _left(self, x: np.ndarray) -> np.ndarray:
         """Norms of what is left after each step, rounded up."""
@@ -72,7 +73,7 @@ class TopK:
         columns = block[:, self.order].astype(np.float64)
         left, columns = self._left(columns), np.ascontiguousarray(columns.T)
         line, at = np.arange(len(self.ids)), np.arange(len(ids))
-        least = self.score[:, -1].astype(np.float64) if self.score.shape[1] == self.k else np.full(len(self.ids), -np.inf)
+        least = np.where(self.score[:, -1] != _NONE, self.score[:, -1].astype(np.float64), -np.inf)
         total = np.zeros((len(line), len(at)))
         for n, lo in enumerate(range(0, len(self.order), self.STEP)):
             total += self.queries[line, lo : lo + self.STEP] @ columns[lo : lo + self.STEP]
@@ -84,32 +85,15 @@ class TopK:
                 if not len(at) or not len(line):
                     return
         scores = np.rint(total).astype(np.int64)
-        k = min(self.k + 1, scores.shape[1])  # its own row may be among them
-        score, found = [], []
+        own = ids[at]
         for row, q in zip(scores, line.tolist(), strict=True):
-            own = ids[at]
+            other = np.flatnonzero(own != self.ids[q])  # a query's own vec_id may be on any number of rows
+            row, k = row[other], min(self.k, len(other))
             keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
-            s, f = np.concatenate([self.score[q], row[keep]]), np.concatenate([self.found[q], own[keep]])
-            other = f != self.ids[q]
-            s, f = s[other], f[other]
+            had = self.score[q] != _NONE
+            s, f = np.concatenate([self.score[q][had], row[keep]]), np.concatenate([self.found[q][had], own[other][keep]])
             best = np.lexsort((f, -s))[: self.k]
-            score.append(s[best])
-            found.append(f[best])
-        wide = max(max(map(len, score), default=0), self.score.shape[1])
-        if wide < self.k:  # few candidates so far: rows may differ in length
-            self._ragged(line, score, found)
-            return
-        if self.score.shape[1] < wide:
-            self.score, self.found = np.zeros((len(self.ids), wide), np.int64), np.zeros((len(self.ids), wide), np.int64)
-        for q, s, f in zip(line.tolist(), score, found, strict=True):
-            self.score[q], self.found[q] = s, f
-
-    def _ragged(self, line, score, found) -> None:
-        wide = max(map(len, score), default=0)
-        full = np.full((len(self.ids), wide), np.iinfo(np.int64).min), np.full((len(self.ids), wide), np.iinfo(np.int64).min)
-        for q, s, f in zip(line.tolist(), score, found, strict=True):
-            full[0][q, : len(s)], full[1][q, : len(f)] = s, f
-        self.score, self.found = full
+            self.score[q, : len(best)], self.found[q, : len(best)] = s[best], f[best]
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, query_block: int = 1024) -> DataFrame:
@@ -145,7 +129,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
         state, now = None, None
 
         def out():
-            real = state.found != np.iinfo(np.int64).min
+            real = state.score != _NONE
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(state.ids, real.sum(1))), pa.array(state.found[real]), pa.array(state.score[real])], ["query_id", "vec_id", "score"])
 
         for batch in batches:

@@ -57,6 +57,33 @@ def test_top_k(embedded, block):
     assert set(found) == {q for q, _, b in want if b}
 
 
+@pytest.mark.parametrize("copies", [1, 5, 1500])
+def test_top_k_of_a_vec_id_on_many_rows(spark, copies):
+    r = np.random.default_rng(copies)
+    rows = [(k, r.normal(size=6).astype(np.float32).tolist()) for k in range(1, 2400)] + [(0, [3.0] * 6)] * copies
+    r.shuffle(rows)
+    rows = [(int(i), list(map(float, v))) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    best = sorted((-int(np.floor(64 * np.array(v)).astype(int).sum() * 192), i) for i, v in rows if i % 20)
+    found = [(-x.score, x.vec_id) for x in vectors.top_k(df.where("vec_id % 20 != 0 or vec_id = 0")).where("query_id = 0").orderBy("rank").collect()]
+    assert found == [b for b in best for _ in range(copies)][:20]  # each row of the query finds them
+
+
+@pytest.mark.parametrize("own", [1, 5, 30])
+@pytest.mark.parametrize("first", [20, 60])
+def test_top_k_of_blocks_with_a_query_on_some_rows(own, first):
+    r = np.random.default_rng(own)
+    ids, block = np.arange(1, 120), r.integers(-50, 50, (119, 4))
+    ids[2:] = np.where(np.isin(np.arange(2, 119), r.choice(np.arange(3, 119), own - 1, replace=False)), 3, ids[2:])
+    block[ids == 3] = block[2] * 2  # its own rows score highest
+    state = vectors.TopK(np.array([3, 100_000]), np.array([block[2], [1, 2, 3, 4]]), 20)
+    for lo, hi in ((0, first), (first, 119)):
+        state.add(ids[lo:hi], block[lo:hi])
+    for q, x in ((0, block[2]), (1, [1, 2, 3, 4])):
+        want = sorted((-int(s), int(i)) for s, i in zip(block @ np.array(x), ids, strict=True) if i != state.ids[q])[:20]
+        assert list(zip((-state.score[q]).tolist(), state.found[q].tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("cell", [4096, 16])
 def test_near_duplicates(embedded, cell, union):
     rows, df = embedded
