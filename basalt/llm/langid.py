@@ -15,7 +15,7 @@ import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from ._common import pieces, texts_of
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3, 4)
 _SLICE = 1 << 18  # characters at once
+_LEAST_ROWS = 20  # of a language, so that a draw by hashes misses none
+_LEAST_STEPS = 20  # of descent, for each language
 _MARGIN = 1.5  # how far beyond the least of held-back texts a text must be to be rejected
 
 
@@ -108,6 +110,10 @@ class Model:
         seen = seen.sum(1)
         return total / np.maximum(seen, 1)[:, None] + self.bias, seen
 
+    @cached_property
+    def _wide(self) -> np.ndarray:
+        return np.hstack([self.table, *([self.familiarity.table[:, None]] if self.familiarity else [])])
+
     def _sums(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each text the sum of its n-grams' rows of the table, and how many n-grams of each order it has."""
         lowered = [_codes(t) for t in texts]
@@ -140,8 +146,7 @@ class Model:
         """Language, score and whether the text is rejected."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        known_by = [self.familiarity.table[:, None]] if self.familiarity else []
-        total, orders = self._sums(texts, np.hstack([self.table, *known_by]))
+        total, orders = self._sums(texts, self._wide)
         seen = orders.sum(1)
         p = softmax((total[:, : len(self.languages)] / np.maximum(seen, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(1)
@@ -208,6 +213,7 @@ def train(rows: list[tuple[str, Sample, Sample]], buckets: int, dim: int = 16, e
                 x[i, s.at] = s.n / s.n.sum()
         return x
 
+    epochs = max(epochs, -(-_LEAST_STEPS * len(languages) // -(-len(fit) // 32)))  # few rows of many languages need more
     steps, at = epochs * -(-len(fit) // 32), 0
     for _ in range(epochs):
         random.shuffle(fit)
@@ -266,14 +272,16 @@ def folds(doc_id="doc_id"):
 
 
 def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages: int = 64, buckets: int = 1 << 14) -> Model:
-    """Learn from some per_language labelled rows of each of the most_languages commonest languages.
+    """Learn every language from some per_language labelled rows of each, or fewer where there are over most_languages.
 
-    The sample is bounded by these parameters, as a share of each language is drawn by a hash of doc_id from the
-    rows that aren't held out, and twice their product is never passed.
+    The sample is bounded by the product of these parameters, or _LEAST_ROWS a language if that is more: a share of each
+    language is drawn by a hash of doc_id from the rows that aren't held out, and twice the bound is never passed.
     """
     rows = documents.where("doc_id is not null and lang is not null and text is not null").where(~folds())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    share = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, per_language / r["count"]))]) if common else F.create_map(F.lit(""), F.lit(0.0))
+    found = rows.groupBy("lang").count().collect()
+    bound = max(per_language * most_languages, _LEAST_ROWS * len(found))
+    each = min(per_language, bound // len(found)) if found else 0
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, each / r["count"]))]) if found else F.create_map(F.lit(""), F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +291,7 @@ def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(whole, pa.binary()), pa.array(head, pa.binary())], ["lang", "whole", "head"])
 
     sampled = chosen.select("lang", "text").mapInArrow(featurize, "lang string, whole binary, head binary")
-    got = sampled.limit(2 * per_language * most_languages).collect()
+    got = sampled.limit(2 * bound).collect()
     return train([(r.lang, Sample.unpacked(r.whole), Sample.unpacked(r.head)) for r in sorted(got, key=lambda r: (r.lang, r.whole, r.head))], buckets)
 
 

@@ -316,6 +316,21 @@ def test_strange_texts_are_rejected_and_clean_ones_stay(spark, data, languages):
     assert np.mean([found[k] for k in range(len(strange), len(rows))]) < 0.01
 
 
+@pytest.mark.parametrize("bounds", [{}, {"per_language": 60, "most_languages": 8}])
+def test_every_language_is_learned(spark, bounds):
+    r = random.Random(6)
+    syllables = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiou"]
+    words = {f"l{k:02}": ["".join(r.choice(own) for _ in range(3)) for _ in range(30)] for k in range(70) for own in [r.sample(syllables, 12)]}
+    rows = [(k, " ".join(r.choice(words[x]) for _ in range(60)), x) for k, x in enumerate(sorted(words) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, **bounds)
+    assert model.languages == sorted(words)
+    held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+    found, _, rejected = model.predict([t for _, t, _ in held])
+    right = {x: np.mean([a == x for a, (_, _, b) in zip(found, held, strict=True) if b == x]) for x in words}
+    assert min(right.values()) > 0.5 and np.mean(list(right.values())) > 0.95 and rejected.mean() < 0.01
+
+
 def test_long_texts_are_read_whole():
     text = "été " * 400_000 + "zzz"
     total = langid.counts(text, 1 << 12)
