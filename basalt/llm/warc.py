@@ -39,7 +39,14 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def reversed_host_key(url: str | None) -> str:
-    """https://blog.a.com:443/x?y#z -> com,a,blog)/x?y; what isn't a URL with a host stays as it is, null is empty."""
+    """https://blog.a.com:443/x?y#z -> com,a,blog)/x?y; what isn't a URL with a host stays as it is, null is empty.
+
+    The characters that part an index's lines and their fields are percent-encoded, so keys sort and meet as they are written.
+    """
+    return re.sub(r"[\n\x1f]", lambda m: quote(m[0]), _raw_key(url))
+
+
+def _raw_key(url: str | None) -> str:
     if not url:
         return ""
     try:
@@ -151,8 +158,7 @@ def write_index(captures: DataFrame, path: str) -> list[tuple[str, str, str]]:
 
         for batch in batches:
             for r in batch.to_pylist():
-                key = re.sub(r"[\n\x1f]", lambda m: quote(m[0]), r["key"])
-                lines.append(_LINE.join((key, r["file"], str(r["offset"]), str(r["length"]))))
+                lines.append(_LINE.join((r["key"], r["file"], str(r["offset"]), str(r["length"]))))
                 if len(lines) == BLOCK:
                     flush()
         if lines:
@@ -200,7 +206,6 @@ class Index:
 
     def captures(self, key: str) -> Iterator[tuple[str, int, int]]:
         """file, offset and length of each capture of a key."""
-        key = re.sub(r"[\n\x1f]", lambda m: quote(m[0]), key)
         k = bisect_left(self.lasts, key)
         while k < len(self.files) and self.files[k][0] <= key:
             directory = self._directory(self.files[k][2])

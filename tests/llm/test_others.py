@@ -165,6 +165,17 @@ def test_warc(spark, tmp_path):
     assert warc.read_pages(spark, empty, path, warc.write_index(warc.write_archives(empty, path), path)).count() == 0
 
 
+def test_warc_of_urls_with_the_characters_that_part_lines(spark, tmp_path):
+    ends = ["\x1fy", "%1Fy", "%1fy", "\ny", "%0Ay", " y", "!y", "$y", "%y", "&y", "\x1ey", "y"]
+    urls = [f"{at}{x}" for at in ("http://a.com/x", "mailto:x") for x in ends]
+    rows = [(k, urls[k % len(urls)], f"v{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/c"
+    files = warc.write_index(warc.write_archives(df.repartition(3), path), path)
+    found = warc.read_pages(spark, df, path, files, keep_payload=True).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in found) == [(k, h) for k, _, h in rows]
+
+
 def test_small_payloads_can_stay_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/", "ab"), (2, "http://b/", "ab"), (3, "http://c/", "abc"), (4, "http://d/", "abc")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/s"
