@@ -153,6 +153,34 @@ for _kind, _word in _SQL_KINDS.items():
         sql(f"join_large_{_kind}", f"SELECT c_custkey, o_orderkey FROM {_CUSTOMER_ORDERS.format(_word)}")
 sql("join_large_semi", f"SELECT c_custkey FROM {_CUSTOMER_ORDERS.format('LEFT SEMI JOIN')}", f"SELECT c_custkey FROM {_CUSTOMER_ORDERS.format('SEMI JOIN')}")
 sql("join_large_anti", f"SELECT c_custkey FROM {_CUSTOMER_ORDERS.format('LEFT ANTI JOIN')}", f"SELECT c_custkey FROM {_CUSTOMER_ORDERS.format('ANTI JOIN')}")
+
+
+def _register_on_tables(kind: str) -> None:
+    """The same kinds over whole tables: no predicate leaves rows out before the join."""
+    base = kind.removeprefix("right_")
+    some = base in ("semi", "anti")
+
+    def add(name: str, other: str, key: str, on: str):
+        out = ["c_custkey", key] if not some else [key if kind.startswith("right_") else "c_custkey"]
+        if some:
+            a, b = (other, "customer") if kind.startswith("right_") else ("customer", other)
+            text = f"SELECT {out[0]} FROM {a} WHERE {'NOT ' * (base == 'anti')}EXISTS (SELECT 1 FROM {b} WHERE {on})"
+        else:
+            text = f"SELECT c_custkey, {key} FROM customer {_SQL_KINDS[kind]} {other} ON {on}"
+
+        @op(f"join_tables_{name}_{kind}", text)
+        def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+            a, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", other))
+            return join.join(a, b, F.expr(on), kind).select(*out)
+
+    add("equi", "orders", "o_orderkey", "c_custkey = o_custkey")
+    add("mixed", "orders", "o_orderkey", "c_custkey = o_custkey AND c_acctbal * 50 > o_totalprice")
+    add("theta", "nation", "n_nationkey", "c_acctbal > n_nationkey * 450")
+
+
+for _kind in (*_SQL_KINDS, "right_semi", "right_anti"):
+    _register_on_tables(_kind)
+
 sql("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber")
 sql("join_cast_key", "SELECT n_name, c_name FROM nation JOIN customer ON n_nationkey = c_custkey")
 sql("join_expression_key", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey + 1 = c_custkey")
