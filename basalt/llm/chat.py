@@ -3,7 +3,8 @@
 In a participant's rendering its own turns are the assistant's, the others' are a named user's and
 system turns stay the system's.  Target spans cover the assistant's words and end marks, as character
 offsets into the rendering.  Long dialogues come in segments of `segment_turns` turn numbers, so no
-row gathers more than those turns, and each segment is rendered from offset 0.
+row gathers more turn numbers than that, and each segment is rendered from offset 0.  Rows that share
+a number, or have none, stay in one segment whatever their number.
 """
 
 from __future__ import annotations
