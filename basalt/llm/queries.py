@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, ngram_join, packing, suffix_dedup, token_files, vectors, warc
+from . import bpe, chat, langid, metric_join, ngram_join, packing, suffix_dedup, token_files, top_k, warc
 from ._common import new_path
 
 
@@ -48,11 +48,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,4 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_chat_perspectives": chat.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_exact_top_k": vectors.TOP_K_ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": vectors.NEAR_ORACLE}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_chat_perspectives": chat.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_exact_top_k": top_k.ORACLE, "op5_warc": warc.ORACLE, "op7_embedding_near_duplicates": metric_join.ORACLE}

@@ -1,7 +1,4 @@
-"""Exact top-k search and near-duplicate links over vectors.
-
-Vectors travel as blocks: one row holds many ids and their components, end to end.
-"""
+"""What the operators on vectors share: sound rows as matrices, centres of a sample, sets of linked rows."""
 
 from __future__ import annotations
 
@@ -9,13 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ._common import connected_components, partitions, written
 
 _BATCH = 4096
-_NONE = np.iinfo(np.int64).min  # the score where fewer than k candidates were seen
 
 
 def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,142 +21,30 @@ def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ok, sizes, flat
 
 
-def sound_blocks(batches: Iterator[pa.RecordBatch], column: str = "embedding") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of the batch, ids, matrix) of like dimension, sound rows only."""
+def sound_blocks(batches: Iterator[pa.RecordBatch], column: str = "embedding") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, rows of it, matrix) of like dimension, sound rows only."""
     for batch in batches:
         ok, sizes, flat = rows_of(batch.column(column))
         begins = np.cumsum(sizes) - sizes
-        ids = np.asarray(batch.column("id").to_numpy(zero_copy_only=False))
         for dim in np.unique(sizes[ok]).tolist():
             at = np.flatnonzero(ok & (sizes == dim))
             for lo in range(0, len(at), _BATCH):
                 some = at[lo : lo + _BATCH]
-                yield some, ids[some].astype(np.int64), flat[begins[some][:, None] + np.arange(dim)]
-
-
-# --- exact top-k --------------------------------------------------------------------------------
-
-
-class TopK:
-    """The k best of each query so far, over blocks of candidates in vertical layout.
-
-    A block's scores are summed over a few dimensions at a time.  After each step a candidate can gain
-    no more than the product of the norms that are left; a candidate that can't reach any query's
-    k-th best is dropped, and so is a query that none can reach, before the next dimensions are read.
-    """
-
-    STEP = 16
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        mass = (queries.astype(np.float64) ** 2).sum(0)
-        self.order = np.argsort(-mass, kind="stable")  # heavy dimensions first
-        self.queries = queries[:, self.order].astype(np.float64)
-        self.left = self._left(self.queries)
-        self.score = np.full((len(ids), k), _NONE)
-        self.found = np.zeros((len(ids), k), np.int64)
-
-    def _left(self, x: np.ndarray) -> np.ndarray:
-        """Norms of what is left after each step, rounded up."""
-        squares = np.cumsum((x**2)[:, ::-1], 1)[:, ::-1]
-        return np.sqrt(np.concatenate([squares[:, self.STEP :: self.STEP], np.zeros((len(x), 1))], 1)) * (1 + 1e-9) + 1e-9
-
-    def add(self, ids: np.ndarray, block: np.ndarray) -> None:
-        columns = block[:, self.order].astype(np.float64)
-        left, columns = self._left(columns), np.ascontiguousarray(columns.T)
-        line, at = np.arange(len(self.ids)), np.arange(len(ids))
-        least = np.where(self.score[:, -1] != _NONE, self.score[:, -1].astype(np.float64), -np.inf)
-        total = np.zeros((len(line), len(at)))
-        for n, lo in enumerate(range(0, len(self.order), self.STEP)):
-            total += self.queries[line, lo : lo + self.STEP] @ columns[lo : lo + self.STEP]
-            if lo + self.STEP < len(self.order) and np.isfinite(least).any():
-                may = total + np.outer(self.left[line, n], left[at, n]) >= least[line, None]
-                some, rows = may.any(0), may.any(1)
-                if some.mean() < 0.8 or rows.mean() < 0.8:
-                    at, line, columns, total = at[some], line[rows], columns[:, some], total[rows][:, some]
-                if not len(at) or not len(line):
-                    return
-        scores = np.rint(total).astype(np.int64)
-        own = ids[at]
-        for row, q in zip(scores, line.tolist(), strict=True):
-            other = np.flatnonzero(own != self.ids[q])  # a query's own vec_id may be on any number of rows
-            row, k = row[other], min(self.k, len(other))
-            keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
-            had = self.score[q] != _NONE
-            s, f = np.concatenate([self.score[q][had], row[keep]]), np.concatenate([self.found[q][had], own[other][keep]])
-            best = np.lexsort((f, -s))[: self.k]
-            self.score[q, : len(best)], self.found[q, : len(best)] = s[best], f[best]
-
-
-def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, query_block: int = 1024) -> DataFrame:
-    """Each query's k highest integer inner products: query_id, rank, vec_id, score.
-
-    Components become floor(scale * x).  Queries are the rows whose vec_id is divisible by `every`, candidates all
-    rows but the query's own vec_id, of like dimension; ties go to the smaller vec_id.  Rows with a null vec_id, a
-    null vector or a null or non-finite component take no part, repeated rows are candidates each, an
-    empty table gives no rows.  Sums must stay below 2**53.
-
-    Every block of queries meets every block of candidates: the pairs of blocks, not of rows, are dealt out.
-    """
-    spark = embeddings.sparkSession
-    rows = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), "embedding")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, matrix in sound_blocks(batches):
-            whole = np.floor(scale * matrix).astype("<i4" if np.abs(matrix).max(initial=0) * scale < 1 << 30 else "<i8")
-            yield pa.RecordBatch.from_pydict({"dim": [matrix.shape[1]], "n": [len(ids)], "kind": [whole.dtype.itemsize], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([whole.tobytes()], pa.binary())})
-
-    packed = "dim long, n long, kind long, ids binary, data binary"
-    asked = rows.where(F.col("id") % every == 0)
-    tasks = max(1, -(-asked.count() // query_block))
-    asked = written(asked.repartition(tasks).mapInArrow(pack, packed).withColumn("q", F.monotonically_increasing_id()), "queries")
-    numbers = sorted((r.q, r.dim) for r in asked.select("q", "dim").collect())  # one for each block of queries
-    salts = max(1, partitions(spark) // max(1, len(numbers)))
-    meeting = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(d).alias("d")) for q, d in numbers]) if numbers else F.lit(None).cast("array<struct<q:long,d:long>>")
-    given = rows.mapInArrow(pack, packed).select("dim", "n", "kind", "ids", "data", F.explode(F.filter(meeting, lambda m: m.d == F.col("dim"))).alias("m"), F.monotonically_increasing_id().alias("b"))
-    given = given.select(F.col("m.q").alias("q"), (F.col("b") % salts).alias("salt"), F.lit(1).alias("side"), "dim", "n", "kind", "ids", "data")
-    needs = asked.select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"), F.lit(0).alias("side"), "dim", "n", "kind", "ids", "data")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, now = None, None
-
-        def out():
-            real = state.score != _NONE
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(state.ids, real.sum(1))), pa.array(state.found[real]), pa.array(state.score[real])], ["query_id", "vec_id", "score"])
+                yield batch, some, flat[begins[some][:, None] + np.arange(dim)]
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                matrix = np.frombuffer(r["data"], f"<i{r['kind']}").reshape(r["n"], r["dim"])
-                if r["side"] == 0:
-                    if state:
-                        yield out()
-                    state, now = TopK(ids, matrix, k), r["q"]
-                elif now == r["q"]:
-                    for lo in range(0, len(ids), 1024):
-                        state.add(ids[lo : lo + 1024], matrix[lo : lo + 1024])
-        if state:
-            yield out()
 
-    met = needs.unionByName(given).repartition(partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "side")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def units(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows aren't zero, and those scaled to length 1; components may be as large or small as doubles go."""
+    most = np.abs(matrix).max(1, initial=0)
+    ok = most > 0
+    scaled = matrix[ok] / most[ok, None]
+    return ok, scaled / np.sqrt((scaled**2).sum(1))[:, None]
 
 
-TOP_K_ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
-"""
-
-
-# --- near duplicates ----------------------------------------------------------------------------
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to centres."""
+    squares = (x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * (x @ centres.T)
+    return np.sqrt(np.maximum(0, squares))
 
 
 def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
@@ -178,8 +58,16 @@ def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
     return points[chosen]
 
 
-def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
+def centres_of(points: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
+    """Means of n groups of the points, begun from points that lie far apart."""
+    centres = farthest_first(points, n)
+    for _ in range(rounds):
+        own = distances(points, centres).argmin(1)
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, points)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return centres
 
 
 def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,160 +80,3 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
         while (up := parent[parent]).tobytes() != parent.tobytes():
             parent = up
-
-
-def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int = 4096, sample: int = 4096, most_pivots: int = 1024) -> DataFrame:
-    """Links of cosine >= least among all rows: vec_id, n_links, component_id, kept.
-
-    On the unit sphere the cosine is a distance, d = sqrt(2 - 2 cos).  Pivots (of a bounded sample, spread
-    out) cut the vectors into cells of the nearest pivot.  A vector is sent to another cell only if it
-    may lie within the range e of one there: d(v, p) <= radius + e and d(v, p) <= d(v, own p) + 2 e.  A cell
-    counts all links of its own rows, so none is lost or counted twice; large cells are cut into slices of own rows,
-    each of which meets the cell's vectors as they stream past.  Products in single precision are checked
-    in double where they come near `least`.
-
-    Null or zero vectors and those with a null or non-finite component link with nothing, as do vectors
-    of another dimension.  Rows come back one each; a repeated vec_id is a vector of its own.
-    """
-    spark = embeddings.sparkSession
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-6) + 1e-6
-    rows = written(embeddings.select(F.monotonically_increasing_id().alias("id"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
-    at_hand = rows.select("id", "embedding")
-
-    def units(batches):
-        for some, ids, matrix in sound_blocks(batches):
-            norm = np.sqrt((matrix**2).sum(1))
-            ok = np.isfinite(norm) & (norm > 0)
-            yield ids[ok], matrix[ok], matrix[ok] / norm[ok, None]
-
-    total = rows.count()
-    wanted = int(min(most_pivots, max(1, -(-total // cell_rows))))
-    picked: dict[int, list] = {}
-    for r in rows.where("embedding is not null and size(embedding) > 0").orderBy(F.xxhash64("id"), "id").limit(sample).collect():
-        x = np.array([np.nan if c is None else c for c in r.embedding], np.float64)
-        with np.errstate(all="ignore"):
-            x = x / np.sqrt((x**2).sum())
-        if np.isfinite(x).all():
-            picked.setdefault(len(x), []).append(x)
-    pivots = {dim: farthest_first(np.array(points), wanted) for dim, points in picked.items()}
-
-    def home(matrix, unit):
-        p = pivots.get(matrix.shape[1])
-        p = unit[:0] if p is None else p
-        d = distances(unit, p) if len(p) else np.full((len(unit), 1), 2.0)  # a dimension that the sample hasn't: one cell
-        return d, d.argmin(1)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, matrix, unit in units(batches):
-            d, own = home(matrix, unit)
-            for c in np.unique(own).tolist():
-                yield pa.RecordBatch.from_pydict({"dim": [matrix.shape[1]], "cell": [c], "n": [int((own == c).sum())], "radius": [float(d[own == c, c].max())]})
-
-    cells = at_hand.mapInArrow(measure, "dim long, cell long, n long, radius double").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
-    sizes = {(r.dim, r.cell): (r.n, r.radius) for r in cells.collect()}  # most_pivots entries a dimension
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, matrix, unit in units(batches):
-            dim = matrix.shape[1]
-            d, own = home(matrix, unit)
-            near = d[np.arange(len(d)), own]
-            made = []
-            for c in range(d.shape[1]):
-                n, radius = sizes.get((dim, c), (0, 0.0))
-                if not n:
-                    continue
-                sent = (d[:, c] <= radius + reach) & (d[:, c] <= near + 2 * reach)
-                sent[own == c] = True
-                slices = -(-n // cell_rows)
-                for s in range(slices):
-                    mine = (own == c) & (ids % slices == s)
-                    if mine.any():
-                        made.append((dim, c, s, 0, int(mine.sum()), ids[mine].tobytes(), matrix[mine].tobytes()))
-                    if sent.any():
-                        made.append((dim, c, s, 1, int(sent.sum()), ids[sent].tobytes(), matrix[sent].tobytes()))
-            if made:
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)], ["dim", "cell", "slice", "side", "n", "ids", "data"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each slice's own rows: kind 0 (id, how many), kind 1 (edges that join what is linked)."""
-        now, mine, state = None, [], None
-
-        def close():
-            ids, _, _, counted, parent = state
-            tree = np.flatnonzero(parent != np.arange(len(parent)))
-            return [(0, ids, counted), (1, ids[tree], ids[parent[tree]])]
-
-        def out(parts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(len(a), kind, np.int32) for kind, a, _ in parts])), pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([b for _, _, b in parts]))], ["kind", "a", "b"]
-            )
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["dim"], r["cell"], r["slice"])
-                if key != now:
-                    if state:
-                        yield out(close())
-                    now, mine, state = key, [], None
-                ids, matrix = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"]).reshape(r["n"], r["dim"])
-                if r["side"] == 0:
-                    mine.append((ids, matrix))
-                    continue
-                if not mine:
-                    continue
-                if state is None:
-                    own, full = (np.concatenate(x) for x in zip(*mine, strict=True))
-                    full = full / np.sqrt((full**2).sum(1))[:, None]
-                    state = (own, full, full.astype(np.float32), np.zeros(len(own), np.int64), np.arange(len(own)))
-                    mine = [None]
-                own, full, single, counted, parent = state
-                unit = matrix / np.sqrt((matrix**2).sum(1))[:, None]
-                rough = unit.astype(np.float32)
-                edges = []
-                for lo in range(0, len(ids), 512):
-                    cos = rough[lo : lo + 512] @ single.T
-                    j, i = np.nonzero(cos >= least - 1e-4)
-                    close_by = np.abs(cos[j, i] - least) < 2e-4
-                    j += lo
-                    if close_by.any():
-                        exact = (unit[j[close_by]] * full[i[close_by]]).sum(1)
-                        drop = np.zeros(len(j), bool)
-                        drop[np.flatnonzero(close_by)[exact < least]] = True
-                        j, i = j[~drop], i[~drop]
-                    apart = ids[j] != own[i]
-                    j, i = j[apart], i[apart]
-                    if not len(j):
-                        continue
-                    counted += np.bincount(i, minlength=len(own))
-                    first = np.flatnonzero(np.diff(j, prepend=-1))  # a column's first linked row stands for all
-                    parent = unite(parent, i, np.repeat(i[first], np.diff(np.append(first, len(j)))))
-                    edges.append((ids[j[first]], own[i[first]]))
-                state = (own, full, single, counted, parent)
-                if edges:
-                    yield out([(1, a, b) for a, b in edges])
-        if state:
-            yield out(close())
-
-    dealt = at_hand.mapInArrow(deal, "dim int, cell int, slice int, side int, n int, ids binary, data binary")
-    met = dealt.repartition(partitions(spark), "dim", "cell", "slice").sortWithinPartitions("dim", "cell", "slice", "side")
-    found = written(met.mapInArrow(link, "kind int, a long, b long"), "links")
-    counted = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_links"))
-    roots = connected_components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("id"), "root")
-    named = rows.select("id", "vec_id").join(counted, "id", "left").join(roots, "id", "left").select("id", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("root"))
-    smallest = written(named.where("n_links > 0").groupBy("root").agg(F.min("vec_id").alias("component_id")), "components")
-    component = F.coalesce("component_id", "vec_id")
-    return named.join(smallest, "root", "left").select("vec_id", "n_links", component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
-
-
-NEAR_ORACLE = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
-r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
-n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
-SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
-"""

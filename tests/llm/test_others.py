@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import chat, queries, vectors, warc
+from basalt.llm import chat, metric_join, queries, top_k, warc
+from basalt.llm._common import written
 from tests.compare import rows_from, rows_of
 
 from .test_documents import brute_components, brute_cuts, check_packing
@@ -49,7 +54,7 @@ def test_top_k(embedded, block):
             best = sorted((-int(x @ y), c) for c, y in whole if c != q and len(x) == len(y))
             want.append((q, len(x), best))
     found = defaultdict(list)
-    for r in vectors.top_k(df, 5, query_block=block).collect():
+    for r in top_k.top_k(df, 5, query_block=block).collect():
         found[r.query_id].append((r["rank"], r.vec_id, r.score))
     for q in {q for q, _, _ in want}:
         best = sorted(b for w, _, bs in want if w == q for b in bs)[:5]
@@ -65,7 +70,7 @@ def test_top_k_of_a_vec_id_on_many_rows(spark, copies):
     rows = [(int(i), list(map(float, v))) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     best = sorted((-int(np.floor(64 * np.array(v)).astype(int).sum() * 192), i) for i, v in rows if i % 20)
-    found = [(-x.score, x.vec_id) for x in vectors.top_k(df.where("vec_id % 20 != 0 or vec_id = 0")).where("query_id = 0").orderBy("rank").collect()]
+    found = [(-x.score, x.vec_id) for x in top_k.top_k(df.where("vec_id % 20 != 0 or vec_id = 0")).where("query_id = 0").orderBy("rank").collect()]
     assert found == [b for b in best for _ in range(copies)][:20]  # each row of the query finds them
 
 
@@ -76,12 +81,95 @@ def test_top_k_of_blocks_with_a_query_on_some_rows(own, first):
     ids, block = np.arange(1, 120), r.integers(-50, 50, (119, 4))
     ids[2:] = np.where(np.isin(np.arange(2, 119), r.choice(np.arange(3, 119), own - 1, replace=False)), 3, ids[2:])
     block[ids == 3] = block[2] * 2  # its own rows score highest
-    state = vectors.TopK(np.array([3, 100_000]), np.array([block[2], [1, 2, 3, 4]]), 20)
+    state = top_k.Search(np.array([3, 100_000]), np.array([block[2], [1, 2, 3, 4]]), 20)
     for lo, hi in ((0, first), (first, 119)):
-        state.add(ids[lo:hi], block[lo:hi])
+        state.add(top_k.Rows(ids[lo:hi], block[lo:hi], False))
+    line, found, score = state.best()
     for q, x in ((0, block[2]), (1, [1, 2, 3, 4])):
         want = sorted((-int(s), int(i)) for s, i in zip(block @ np.array(x), ids, strict=True) if i != state.ids[q])[:20]
-        assert list(zip((-state.score[q]).tolist(), state.found[q].tolist(), strict=True)) == want
+        assert list(zip((-score[line == q]).tolist(), found[line == q].tolist(), strict=True)) == want
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """30,000 vectors around 60 centres."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 64))[r.integers(0, 60, 30_000)] + r.normal(scale=0.25, size=(30_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    rows = spark.range(30_000).select(F.col("id").alias("vec_id"))
+    made = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x[np.asarray(b.column(0))]), pa.list_(pa.float32()))], ["vec_id", "embedding"]) for b in batches), "vec_id long, embedding array<float>")
+    return x, written(made, "clustered")
+
+
+def counters(spark):
+    return spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+
+def test_top_k_computes_few_of_all_products(spark, clustered):
+    x, df = clustered
+    done, full = counters(spark)
+    rows = top_k.top_k(df, work=(done, full)).where("query_id < 1000").collect()
+    assert done.value < 0.25 * full.value
+    numbers = np.floor(64 * x.astype(np.float64)).astype(np.int64)
+    for q in range(0, 1000, 20):
+        score = numbers @ numbers[q]
+        want = [k for k in np.lexsort((np.arange(len(x)), -score)).tolist() if k != q][:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])] == [(k, score[k]) for k in want]
+
+
+def test_cells_leave_out_most_pairs(spark, clustered):
+    x, df = clustered
+    pairs, sent = counters(spark)
+    rows = metric_join.near_duplicates(df, work=(pairs, sent)).collect()
+    assert pairs.value < 0.1 * len(x) ** 2 / 2 and sent.value < 2 * len(x)
+    cos = np.array([(x[k : k + 1000].astype(np.float64) @ x.T.astype(np.float64) >= 0.9).sum(1) for k in range(0, len(x), 1000)]).ravel() - 1
+    assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(cos.tolist()))
+
+
+@pytest.mark.parametrize("cell", [None, 100])
+def test_a_group_of_near_copies_costs_its_own_size(spark, union, cell):
+    r = np.random.default_rng(5)
+    centre = r.normal(size=16)
+    x = np.concatenate([centre + r.normal(scale=0.05, size=(1500, 16)), centre + r.normal(scale=0.35, size=(300, 16)), r.normal(size=(700, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    pairs, sent = counters(spark)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(df, cell_rows=cell, work=(pairs, sent)).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        union.join(max(union.find(int(i)), union.find(int(j))), min(union.find(int(i)), union.find(int(j))))
+    assert found == {k: (int(near[k].sum()) - 1, union.find(k)) for k in range(len(x))}
+
+
+def test_cells_begin_with_small_tables(spark):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, (r.normal(size=8) + 20 * np.eye(8)[k % 4]).tolist()) for k in range(200)], "vec_id long, embedding array<double>")
+    pairs, sent = counters(spark)
+    metric_join.near_duplicates(df, cell_rows=50, work=(pairs, sent)).collect()
+    assert pairs.value < 0.5 * 200 * 199 / 2
+
+
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(20, [1e20, 1.0]), (1, [1e20, 1.0]), (2, [-1e300, 3.0]), (3, [1e8, -1e8]), (40, [1e7 + 0.5, 2.0]), (4, [0.5, 0.25]), (5, [1e-200, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in rows}
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = [(q, n + 1, c, s) for q in (20, 40) for n, (s, c) in enumerate((-s, c) for s, c in sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[c], strict=True))), c) for c in whole if c != q))]
+    assert sorted(map(tuple, top_k.top_k(df).collect())) == want
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [-1e-200, 1e-200]), (5, [0.0, 0.0]), (6, [1.0, 1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_a_copied_vector_is_compared_once(spark):
+    r = np.random.default_rng(8)
+    rows = [(k, ([1.0] * 8 if k % 2 else r.normal(size=8).tolist())) for k in range(1000)]
+    pairs, sent = counters(spark)
+    found = {r.vec_id: r for r in metric_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), work=(pairs, sent)).collect()}
+    assert pairs.value <= 501 * 500 / 2
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert {k: v.n_links for k, v in found.items()} == dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
 
 
 @pytest.mark.parametrize("cell", [4096, 16])
@@ -100,12 +188,12 @@ def test_near_duplicates(embedded, cell, union):
         if v is not None:
             least[union.find(i)] = min(least.get(union.find(i), v), v)
     want = Counter((v, links[i], least.get(union.find(i)), v == least.get(union.find(i))) for i, (v, *_) in enumerate(rows))
-    assert Counter(tuple(r) for r in vectors.near_duplicates(df, cell_rows=cell).collect()) == want
+    assert Counter(tuple(r) for r in metric_join.near_duplicates(df, cell_rows=cell).collect()) == want
 
 
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert vectors.top_k(none).count() == 0 and vectors.near_duplicates(none).count() == 0
+    assert top_k.top_k(none).count() == 0 and metric_join.near_duplicates(none).count() == 0
 
 
 def brute_chat(rows, width):
