@@ -46,6 +46,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_of(documents: DataFrame, column: str = "text", each: int = 16 << 20) -> int:
+    """How many buckets the documents' texts are dealt to, at most so many bytes in the mean: a task's memory doesn't grow with the input."""
+    size = documents.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0]
+    return max(2 * partitions(documents.sparkSession), -(-(size or 0) // each))
+
+
 def release_memory() -> None:
     """Give freed memory back: workers live on and share their executor's."""
     pa.default_memory_pool().release_unused()

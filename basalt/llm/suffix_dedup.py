@@ -5,11 +5,10 @@ the smallest hash.  Equal runs have equal anchors, so runs can be brought togeth
 
 1. Each document's anchors are hashed; those in two documents come back (shared_tokens).
 2. Around each of those a document's runs form one short segment.  Segments go to the bucket of the
-   anchor; of equal segments of one task only the smallest document's goes, the others are removed at once.
-3. A bucket sorts the suffixes of its distinct segments (by prefix doubling, as deep as a run is
-   long).  In suffix order, where equal runs stand by position, the previous smaller position gives an
-   earlier match of full length; the next smaller one never lies among equal runs.  Runs with an earlier match
-   are removed wherever their segment stands, so all but the first document's copy go.
+   anchor; of segments of one task that are equal byte by byte only the smallest document's goes, the others are removed at once.
+3. A bucket sorts the suffixes of its distinct segments, as deep as a run is long.  In suffix order the previous and the
+   next suffix of a smaller document give the longest previous factor of each (longest_previous); where that is a run's length,
+   the run is removed wherever its segment stands, so all but the first document's copy go.
 4. Removed runs go back to their documents, whose bytes are then cut.
 
 Nothing depends on which document comes to which task, and a passage common to a third of all
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import shared_tokens as S
-from ._common import partitions, pieces
+from ._common import buckets_of, pieces
 
 _CHUNK = 1 << 20  # positions at once; a place must fit in _PLACE
 _PLACE = np.uint64((1 << 24) - 1)
@@ -120,35 +119,55 @@ def range_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))) * _ODD[1] + sizes.astype(np.uint64)
 
 
-def ranks_to(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes at starts, compared over their first `length` bytes: prefix doubling."""
-    _, rank = np.unique(words8(np.concatenate([data, np.zeros(7, np.uint8)]), ">u8").astype(np.uint64), return_inverse=True)
-    depth = 8
-    while 2 * depth <= length:
-        after = np.zeros_like(rank)
-        after[: len(rank) - depth] = rank[depth:] if depth < len(rank) else rank[:0]
-        _, rank = np.unique(rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), return_inverse=True)
-        depth *= 2
-    if depth == length:
-        return rank[starts]
-    return np.unique(rank[starts].astype(np.uint64) << np.uint64(32) | rank[starts + length - depth].astype(np.uint64), return_inverse=True)[1]
+def nearest_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place the smallest of `common` on the way to the nearest place before it whose value is smaller, 0 without one.
 
+    common[k] belongs to the step from k - 1 to k.  All places look at once: one whose candidate isn't smaller takes that one's
+    candidate, as all between are no smaller either, so ways double from round to round.
+    """
+    to, least = np.arange(len(value)) - 1, common.copy()
+    seeks = np.arange(1, len(value))
+    seeks = seeks[value[to[seeks]] >= value[seeks]]
+    while len(seeks):
+        over = to[seeks]
+        shorter, further = np.minimum(least[seeks], least[over]), to[over]
+        least[seeks], to[seeks] = shorter, further
+        seeks = seeks[further >= 0]
+        seeks = seeks[value[to[seeks]] >= value[seeks]]
+    least[to < 0] = 0
+    return least
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor of the suffix at each start, as far as `length` bytes: how much of it begins a suffix of a smaller owner too.
+
+    Suffixes are sorted by their first `length` bytes.  Of all with a smaller owner the one that has most in common
+    with a suffix is the nearest before or the nearest after it in that order: the previous and the next smaller position.
+    """
+    whole = np.ndarray((max(0, len(data) - length + 1),), f"S{length}", np.ascontiguousarray(data).data if len(data) else b"", 0, (1,))
+    rows = whole[starts]
+    order = np.argsort(rows)
+    own = owner[order]
+    letters = rows[order].view(np.uint8).reshape(-1, length)
+    differ = letters[1:] != letters[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), length)  # of neighbours
+    before = nearest_smaller(own, np.concatenate([[0], common])[: len(own)])
+    after = nearest_smaller(own[::-1], np.concatenate([[0], common[::-1]])[: len(own)])[::-1]
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
-def earlier_match(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether a suffix's longest previous factor has full depth.
 
-    Suffixes stand by rank, and equal ones by owner.  The previous smaller owner of each is then the last one
-    before its own owner's among the equal ones; the next smaller owner has another rank, so a shorter match.
-    """
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    new_rank = np.concatenate([[True], r[1:] != r[:-1]])
-    new_owner = new_rank | np.concatenate([[True], o[1:] != o[:-1]])
-    index = np.arange(len(r))
-    first_of_rank = np.maximum.accumulate(np.where(new_rank, index, 0))
-    first_of_owner = np.maximum.accumulate(np.where(new_owner, index, 0))
-    out = np.zeros(len(r), bool)
-    out[order] = first_of_owner - 1 >= first_of_rank  # the previous smaller one shares the rank
+def equal_runs(order: np.ndarray, token: np.ndarray, hashed: np.ndarray, begin: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether each segment, in an order, has the anchor and the bytes of the one before; hashes choose what is compared."""
+    a, b = order[1:], order[:-1]
+    at = np.flatnonzero((token[a] == token[b]) & (hashed[a] == hashed[b]) & (size[a] == size[b]))
+    out = np.zeros(len(order), bool)
+    for some in np.array_split(at, max(1, int(size[a[at]].sum()) // _CHUNK)):
+        if len(some):
+            n = size[a[some]]
+            equal = data[spread(begin[a[some]], n)] == data[spread(begin[b[some]], n)]
+            out[1 + some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
     return out
 
 
@@ -157,8 +176,7 @@ def match_segments(token: np.ndarray, doc: np.ndarray, size: np.ndarray, data: n
     begin = np.cumsum(size) - size
     hashed = range_hashes(data, size)
     order = np.lexsort((doc, hashed, token))
-    hashed = hashed[order]
-    same = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (hashed[1:] == hashed[:-1])])
+    same = equal_runs(order, token, hashed, begin, size, data)
     least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # of each kind of segment the smallest document's stands first
     later = doc[order] > doc[order][least]
     yield order[later], np.zeros(int(later.sum()), np.int64), size[order][later]
@@ -186,7 +204,7 @@ def match_segments(token: np.ndarray, doc: np.ndarray, size: np.ndarray, data: n
         at = np.cumsum(size[some]) - size[some]
         windows = spread(at, n)
         segment = np.repeat(np.arange(len(some)), n)
-        hit = earlier_match(ranks_to(text, windows, length), doc[some][segment])
+        hit = longest_previous(text, windows, doc[some][segment], length) >= length
         first = hit & np.concatenate([[True], ~hit[:-1] | (segment[1:] != segment[:-1])])
         last = hit & np.concatenate([~hit[1:] | (segment[1:] != segment[:-1]), [True]])
         f, l = np.flatnonzero(first), np.flatnonzero(last)
@@ -243,8 +261,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     """
     if length < 16:
         raise ValueError("length must be 16 at least")
-    spark = documents.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = buckets_of(documents)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = rows.where("doc_id is not null and octet_length(text) >= " + str(int(length)))
 
@@ -340,7 +357,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             begin = np.cumsum(width) - width
             hashed = range_hashes(data, width)
             order = np.lexsort((doc_id, hashed, token))
-            same = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (hashed[order][1:] == hashed[order][:-1])])
+            same = equal_runs(order, token, hashed, begin, width, data)
             least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             later = doc_id[order] > doc_id[order][least]
             gone, sent = order[later], order[~later]

@@ -128,7 +128,7 @@ def test_too_short_runs_are_refused(documents):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=16, max_size=60), min_size=1, max_size=6).map(lambda x: [bytes(c % 3 for c in b) for b in x]))
-def test_earlier_matches_by_suffix_order(docs):
+def test_longest_previous_factors(docs):
     data = np.frombuffer(b"".join(docs), np.uint8)
     owner, starts, at = [], [], 0
     for k, d in enumerate(docs):
@@ -136,12 +136,48 @@ def test_earlier_matches_by_suffix_order(docs):
             owner.append(k)
             starts.append(at + i)
         at += len(d)
-    found = suffix_dedup.earlier_match(suffix_dedup.ranks_to(data, np.array(starts), 16), np.array(owner))
+    found = suffix_dedup.longest_previous(data, np.array(starts), np.array(owner), 16)
     raw = data.tobytes()
-    want = [any(raw[s : s + 16] == raw[t : t + 16] and o < k for t, o in zip(starts, owner, strict=True)) for s, k in zip(starts, owner, strict=True)]
+    common = lambda s, t: next((k for k in range(16) if raw[s + k] != raw[t + k]), 16)
+    want = [max((common(s, t) for t, o in zip(starts, owner, strict=True) if o < k), default=0) for s, k in zip(starts, owner, strict=True)]
     assert found.tolist() == want
 
 
+def test_longest_previous_factors_lie_on_either_side():
+    docs = [b"aaaabbbbccccdddd", b"aaaabbbbccccddde", b"aaaabbbbccccdddc", b"aaaabbbb\0\0\0\0\0\0\0\0"]
+    found = suffix_dedup.longest_previous(np.frombuffer(b"".join(docs), np.uint8), np.arange(4) * 16, np.array([2, 0, 1, 3]), 16)
+    assert found.tolist() == [15, 0, 15, 8]  # the first has its match after it, the third too, the last after it
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), min_size=1, max_size=40))
+def test_nearest_smaller(pairs):
+    value, common = (np.array(x) for x in zip(*pairs, strict=True))
+    want = []
+    for i in range(len(value)):
+        j = max((j for j in range(i) if value[j] < value[i]), default=None)
+        want.append(0 if j is None else common[j + 1 : i + 1].min())
+    assert suffix_dedup.nearest_smaller(value, common).tolist() == want
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing(documents, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "range_hashes", lambda data, sizes: np.zeros(len(sizes), np.uint64))
+    r = random.Random(2)
+    segments = [bytes(r.choice(b"ab") for _ in range(52)) for _ in range(30)]
+    segments += segments[:10]
+    data, size, doc = np.frombuffer(b"".join(segments), np.uint8), np.array([52] * 40), np.arange(40)
+    gone = sorted((int(s), int(o), int(w)) for some in suffix_dedup.match_segments(np.zeros(40, np.uint64), doc, size, data, 50) for s, o, w in zip(*some, strict=True))
+    covered = defaultdict(set)
+    for s, o, w in gone:
+        covered[s] |= set(range(o, o + w))
+    want = defaultdict(set)
+    for k, x in enumerate(segments):
+        for o in range(3):
+            if any(x[o : o + 50] == y[p : p + 50] for y in segments[:k] for p in range(3)):
+                want[k] |= set(range(o, o + 50))
+    assert covered == want
+
+
 @lru_cache(1)
 def tiktoken_of(name):
     import base64
