@@ -2,8 +2,8 @@
 
 Lengths, not documents, are packed: their histogram has at most `capacity` entries, however many
 documents there are.  For each bin a subset-sum dynamic program over bitsets finds the fullest
-combination of the lengths that are left, beginning with the longest; it is taken as often as
-the histogram allows.  Pieces are then numbered within their length and look up their place.
+combination of the lengths that are left; it is taken as often as the histogram allows.  Several ways to
+order this are planned and the one with the fewest bins is taken.  Pieces are then numbered within their length and look up their place.
 """
 
 from __future__ import annotations
@@ -47,23 +47,61 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     return chosen
 
 
-def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Combinations of lengths and how many bins each fills; together they use up counts."""
+def fill(counts: dict[int, int], capacity: int, layers: list[int], seeded: bool) -> list[tuple[dict[int, int], int]]:
+    """Minimum bin slack, layer by layer: first with lengths over layers[0] alone, then with those over layers[1] that are left, and so on.
+
+    In each layer the bins that are there get the fullest combination of the layer's lengths that their room takes, the smallest rooms
+    first; what is left gets new bins.  These begin with the longest length (seeded) or with none.  Small lengths so stay for the
+    gaps that nothing else fills.  With a layer for each length this is best fit decreasing.
+    """
     counts = {x: n for x, n in counts.items() if n}
-    bins = []
-    while counts:
-        longest = max(counts)
-        counts[longest] -= 1
-        chosen = fullest(counts, capacity - longest)
-        counts[longest] += 1
-        chosen[longest] = chosen.get(longest, 0) + 1
-        times = min(counts[x] // n for x, n in chosen.items())
-        bins.append((chosen, times))
-        for x, n in chosen.items():
-            counts[x] -= n * times
-            if not counts[x]:
-                del counts[x]
-    return bins
+    bins: list[tuple[int, dict[int, int], int]] = []  # room, combination, times
+    for least in layers:
+        some = {x: counts.pop(x) for x in [x for x in counts if x > least]}
+        if not some:
+            continue
+        opened, bins = sorted(bins, key=lambda b: b[0]), []
+
+        def take(room: int, chosen: dict[int, int], add: dict[int, int], most: int | None) -> int:
+            times = min([some[x] // n for x, n in add.items()] + ([most] if most else []))  # noqa: B023
+            both = dict(chosen)
+            for x, n in add.items():
+                both[x] = both.get(x, 0) + n
+                some[x] -= n * times  # noqa: B023
+                if not some[x]:  # noqa: B023
+                    del some[x]  # noqa: B023
+            bins.append((room - sum(x * n for x, n in add.items()), both, times))  # noqa: B023
+            return times
+
+        for room, chosen, times in opened:
+            while times:
+                add = fullest(some, room) if some and room > least else {}
+                times -= take(room, chosen, add, times)
+        while some:
+            seed = max(some) if seeded else 0
+            add = fullest(some | ({seed: some[seed] - 1} if seed else {}), capacity - seed)
+            if seed:
+                add[seed] = add.get(seed, 0) + 1
+            take(capacity, {}, add, None)
+    return [(chosen, times) for _, chosen, times in bins]
+
+
+def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Combinations of lengths and how many bins each fills; together they use up counts.
+
+    Of several ways of layering that with the fewest bins is taken.  One is best fit decreasing, so there are never more bins than that
+    needs.
+    """
+    halves = [capacity >> k for k in range(1, capacity.bit_length())]
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    for layers, seeded in (([0], True), ([*halves, 0], True), ([capacity // 4, capacity // 16, 0], True), ([0], False), ([*halves, 0], False), ([capacity // 4, capacity // 16, 0], False), ([*range(capacity, -1, -1)], True)):
+        bins = fill(counts, capacity, layers, seeded)
+        if not best or sum(n for _, n in bins) < sum(n for _, n in best):
+            best = bins
+        if sum(n for _, n in best) == least:
+            break
+    return best
 
 
 def places(bins: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:

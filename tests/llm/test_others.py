@@ -304,5 +304,5 @@ def test_pipeline_stages(spark, documents, texts, union):
 
 def test_pipeline(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
-    assert rows and check_packing(rows, True, 1024)
+    assert rows and check_packing(rows, 1024)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeated_passages", "best_fit_packing"]
