@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,17 @@ BATCH_BYTES = 4 << 20
 
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (as in tests), one on this machine."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset and all run on this machine (as in tests), one of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
         return re.sub("^file:/(?!/)", "file:///", whole)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="basalt-")
@@ -32,7 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_path has named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession, kept: list[DataFrame] | None = None) -> Iterator[None]:
+    """What operators write inside is deleted at the end, so write or collect results inside.
+
+    Written tables that are put in `kept` stay; they belong to the scope around this one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        own = _scopes.pop()
+        stay = [p for df in kept or [] for p in own if any(p.rsplit("/", 1)[-1] in f for f in df.inputFiles()[:1])]
+        for path in own:
+            if path not in stay:
+                remove(spark, path)
+        if _scopes:
+            _scopes[-1].extend(stay)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -85,24 +117,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Nodes of `edges` (u, v of one ordered type) with the smallest node that can be reached: columns u, root.
 
-    Each round gives every node its smallest smaller neighbour as a parent, joins its other
-    smaller neighbours to that parent and then skips a generation.  Edges stay as many at most;
-    parents come from partly aggregated sums, and joins on a hot parent can be split.  Edges are
-    written each round.  Null nodes and loops are left out.
+    Each round gives every node its smallest smaller neighbour as a parent, joins its other smaller neighbours to that parent
+    and then skips a generation.  Every round brings some node nearer to its root, so it ends whatever the graph is; edges stay as many at
+    most.  Parents come from partly aggregated minima and are written, so both sides of a join on a parent that a third of all nodes
+    may have come from a shuffle, and adaptive execution can split it.  Tables of earlier rounds are deleted.  Null nodes and loops are left out.
     """
-    edges = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges"
-    )
-    for _ in range(most_rounds):
-        parent = edges.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n"))
-        up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        grand = parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.lit(0).alias("more"), (F.col("pp").isNotNull() | (F.col("n") > 1)).alias("moved"))
-        rest = edges.join(parent.where("n > 1").select("u", "p"), "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(1).alias("more"), F.lit(True).alias("moved"))
-        edges = written(grand.unionByName(rest).groupBy("u", "v").agg(F.min("more").alias("more"), F.max("moved").alias("moved")), "edges")
-        if not edges.where("moved").limit(1).count():
-            return edges.select("u", F.col("v").alias("root"))
-        edges = edges.select("u", "v")
-    raise RuntimeError(f"no end of the components after {most_rounds} rounds")
+    spark = edges.sparkSession
+    with cleared(spark, kept := []):
+        edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
+        more = True
+        while more:
+            with cleared(spark, now := []):
+                parent = written(edges.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n")), "parents")
+                up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+                grand = parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.lit(0).alias("more"), (F.col("pp").isNotNull() | (F.col("n") > 1)).alias("moved"))
+                rest = edges.join(parent.where("n > 1").select("u", "p"), "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(1).alias("more"), F.lit(True).alias("moved"))
+                after = written(grand.unionByName(rest).groupBy("u", "v").agg(F.min("more").alias("more"), F.max("moved").alias("moved")), "edges")
+                more = after.where("moved").limit(1).count() > 0
+                edges = after.select("u", "v")
+                now.append(after)
+        kept.append(after)
+        return edges.select("u", F.col("v").alias("root"))

@@ -1,16 +1,21 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exactly.
+"""Near duplicates by the Jaccard similarity of word shingles.
 
 Multiple global orders: two sets of similarity t or more share a token among the first
-n - ceil(t n) + 1 of each, whatever order all tokens are put in.  Orders here go by how many documents
-have a token (up to CAP), then by one of several hashes.  A token that no other document has comes first
-and matches nothing, so a document with enough of those has no partner; the rest are few.
-
-1. Every distinct set sends its tokens once; those in two documents come back (shared_tokens).
-2. Documents whose prefix holds such a token are tied to the smallest document of each prefix token.
-   The pieces that these ties hang together in contain every link.
-3. Within a piece candidates must share a prefix token under every order; those are verified by their
-   intersections.  Large pieces are cut into slices, and pairs of slices are dealt out.  A task
-   reports only a spanning forest of the links it has found, so rows never grow with pairs.
+n - ceil(t n) + 1 of each, whatever order all tokens are put in.  The first order goes by how many documents
+have a token (up to CAP), so that a token that no other document has comes first and matches nothing; the others go by
+hashes of their own, so what two documents of little likeness share by chance under one order they don't under the next.
+
+1. Every distinct set sends its tokens once; those in two documents come back (shared_tokens).  Sets with the same shared
+   tokens and the same size are one node, as they share just those: pages of one template cost one node.
+2. Nodes that hold a token in their prefix are tied to the smallest node that does.  What ties hang together are
+   pieces, and contain every link.  Large pieces are tied again by the prefixes under each further order, so only what all
+   orders leave together is compared.
+3. Large pieces are dealt to slices, each with the same few leaders; what is linked there forms groups.  Nodes outside of a
+   piece's largest group then meet all others, in pairs of slices: a group of any size that a leader holds together costs its own size.
+4. Where a few nodes meet, candidate pairs must share a prefix token under every order; those are verified by their
+   intersections.  A task reports only a spanning forest of the links it has found, so rows never grow with pairs.
+
+Tokens are 64-bit hashes of shingles: exact but for two shingles of one corpus with equal hashes.
 """
 
 from __future__ import annotations
@@ -20,17 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_tokens as S
-from ._common import connected_components, partitions, pieces, texts_of, written
+from ._common import buckets_of, connected_components, partitions, pieces, texts_of, written
 from .vectors import unite
 
 CAP = 16
 ORDERS = 3
-SLICE = 64
+SLICE = 256  # nodes
+LEADERS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -62,10 +68,28 @@ def order_key(tokens: np.ndarray, which: int) -> np.ndarray:
     return x * _ODD[(which + 1) % 5]
 
 
-def first_tokens(tokens: np.ndarray, common: np.ndarray, n: int, percent: int, which: int) -> np.ndarray:
-    """A document's shared tokens that lie in its prefix under an order; tokens that no other has come before them."""
-    size = int(prefix(n, percent)) - (n - len(tokens))
-    return tokens[np.lexsort((order_key(tokens, which), common))[:size]] if size > 0 else tokens[:0]
+def cuts(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The last key of a whole set's prefix under each order but the first."""
+    if not len(tokens):
+        return np.zeros(ORDERS - 1, np.uint64)
+    size = int(prefix(len(tokens), percent))
+    return np.array([np.partition(order_key(tokens, which), size - 1)[size - 1] for which in range(1, ORDERS)], np.uint64)
+
+
+class Node:
+    """A set of n tokens: those that others have too, how common they are, and where its prefixes end."""
+
+    __slots__ = ("tokens", "common", "n", "cuts")
+
+    def __init__(self, tokens: bytes, common: bytes, n: int, ends: bytes):
+        self.tokens, self.common, self.n, self.cuts = np.frombuffer(tokens, np.uint64), np.frombuffer(common, np.uint8), n, np.frombuffer(ends, np.uint64)
+
+    def prefix(self, percent: int, which: int) -> np.ndarray:
+        """Its shared tokens that lie in its prefix under an order; under the first, tokens that no other has come before them."""
+        if which:
+            return self.tokens[order_key(self.tokens, which) <= self.cuts[which - 1]]
+        size = int(prefix(self.n, percent)) - (self.n - len(self.tokens))
+        return self.tokens[np.lexsort((order_key(self.tokens, 0), self.common))[:size]] if size > 0 else self.tokens[:0]
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -89,50 +113,55 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def linked(sets: list[tuple[np.ndarray, np.ndarray, int]], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among a few documents (tokens, how common, size of the whole set); of two sides only pairs across."""
-    n = np.array([x[2] for x in sets], np.int64)
+def linked(nodes: list[Node], group: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Linked pairs among a few nodes, and how many were verified; only pairs of different groups and, but for those of side -1, different sides."""
+    n = np.array([x.n for x in nodes], np.int64)
     may = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     may &= np.triu(np.ones(may.shape, bool), 1)
-    if side.any() and not side.all():
-        may &= np.not_equal.outer(side, side)
+    may &= np.not_equal.outer(group, group) & (np.not_equal.outer(side, side) | (side < 0))
     for which in range(ORDERS):
         if not may.any():
             break
-        may &= overlaps([first_tokens(t, c, size, percent, which) for t, c, size in sets]) > 0
+        may &= overlaps([x.prefix(percent, which) for x in nodes]) > 0
     i, j = np.nonzero(may)
     if not len(i):
-        return i, j
+        return i, j, 0
     some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    both = overlaps([sets[k][0] for k in some])[at[: len(i)], at[len(i) :]]
+    both = overlaps([nodes[k].tokens for k in some])[at[: len(i)], at[len(i) :]]
     ok = 100 * both >= percent * (n[i] + n[j] - both)
-    return i[ok], j[ok]
+    return i[ok], j[ok], len(i)
 
 
 def _text_hash():
-    """Tells the texts of one doc_id apart."""
-    return F.to_binary(F.hex(F.xxhash64(F.col("text").cast("string"))), F.lit("hex"))
+    """Tells the texts of one doc_id apart: eight bytes."""
+    return F.to_binary(F.lpad(F.hex(F.xxhash64(F.col("text").cast("string"))), 16, "0"), F.lit("hex"))
+
+
+_NODE = "ref long, n long, tokens binary, common binary, cuts binary"
+_TYPES = [("ref", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("common", pa.binary()), ("cuts", pa.binary())]
+_COLUMNS = [c for c, _ in _TYPES]
 
 
 def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """members: doc_id, n, sig, ref, h for every row; found: ref, n, tokens, common of documents that may have a partner."""
-    spark = documents.sparkSession
-    buckets = 2 * partitions(spark)
+    """members: doc_id, n, sig, ref, h for every row; found: distinct sets that may have a partner, with the signature `node` of what others share of them."""
+    buckets = buckets_of(documents)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, seen = S.Sender(TaskContext.get().partitionId(), buckets, CAP), {}
         for batch in pieces(batches, "text"):
-            n, sig, ref, first = [], [], [], []
-            for text in texts_of(batch):
+            n, sig, ref, first, note = [], [], [], [], []
+            for text, h in zip(texts_of(batch), batch.column("h").to_pylist(), strict=True):
                 tokens = shingles(text, width)
                 n.append(len(tokens))
                 sig.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 first.append(sig[-1] not in seen)
                 if first[-1]:
                     seen[sig[-1]] = sender.add(tokens)
+                    h += cuts(tokens, percent).tobytes()
                 ref.append(seen[sig[-1]])
+                note.append(h)
                 yield from sender.flush(force=False)
-            yield S.documents(S.home(np.array(ref, np.int64), buckets), batch.column("doc_id"), n, sig, ref, first, batch.column("h").to_pylist())
+            yield S.documents(S.home(np.array(ref, np.int64), buckets), batch.column("doc_id"), n, sig, ref, first, note)
         yield from sender.flush()
 
     def choose(table: pa.Table) -> pa.Table:
@@ -140,109 +169,170 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
         blobs = table.filter(pa.array(kinds == S.RETURNED)).column("blob").to_pylist()
         out = []
         if blobs:
-            sizes = dict(zip(*(table.filter(pa.array(kinds == S.DOCUMENT)).column(c).to_pylist() for c in ("ref", "n")), strict=True))
+            own = table.filter(pa.array(kinds == S.DOCUMENT))
+            known = dict(zip(own.column("ref").to_pylist(), zip(own.column("n").to_pylist(), own.column("blob").to_pylist(), strict=True), strict=True))
             refs, begins, tokens, common = S.received(blobs)
             for ref, a, b in zip(refs.tolist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                if prefix(sizes[ref], percent) > sizes[ref] - (b - a):
-                    out.append((ref, sizes[ref], tokens[a:b].tobytes(), common[a:b].tobytes()))
-        types = [("ref", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("common", pa.binary())]
-        return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types)})
+                n, note = known[ref]
+                if prefix(n, percent) > n - (b - a):
+                    raw = tokens[a:b].tobytes()
+                    out.append((ref, n, raw, common[a:b].tobytes(), note[8:], xxhash.xxh3_128_digest(raw + n.to_bytes(8, "little"))))
+        return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate([*_TYPES, ("node", pa.binary())])})
 
     sent = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("h")).mapInArrow(send, S.SCHEMA)
     shared = written(sent.groupBy("part").applyInArrow(S.share(buckets, CAP), S.SCHEMA), "shared")
     members = shared.where(F.col("kind") == S.DOCUMENT)
-    returned = shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))).groupBy("part").applyInArrow(choose, "ref long, n long, tokens binary, common binary")
+    returned = shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))).groupBy("part").applyInArrow(choose, _NODE + ", node binary")
     one = members.where("first").groupBy("sig").agg(F.min("ref").alias("ref"))
-    return members.select("doc_id", "n", "sig", "ref", F.col("blob").alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
+    return members.select("doc_id", "n", "sig", "ref", F.substring("blob", 1, 8).alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
 
 
-def _pieces_of(found: DataFrame, percent: int) -> DataFrame:
-    """ref, root: which documents hang together by prefix tokens."""
+def _pieces_of(nodes: DataFrame, percent: int, which: int) -> DataFrame:
+    """ref, root: which nodes (of one `piece`) hang together by prefix tokens of an order; nodes without a tie are left out."""
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
+        """Of the nodes read so far the smallest of each token, and each node's tie to the smallest of its tokens."""
+        held: list[tuple[int, int, np.ndarray]] = []
 
         def out():
-            tokens = np.concatenate([t for _, t in held])
-            refs = np.repeat([r for r, _ in held], [len(t) for _, t in held])
-            order = np.lexsort((refs, tokens))
-            tokens, refs = tokens[order], refs[order]
-            starts = S.runs(tokens)
+            size = [len(t) for _, _, t in held]
+            tokens = np.concatenate([t for _, _, t in held])
+            piece, refs = (np.repeat([r[k] for r in held], size) for k in (0, 1))
+            order = np.lexsort((refs, tokens, piece))
+            tokens, refs, piece = tokens[order], refs[order], piece[order]
+            starts = np.union1d(S.runs(tokens), S.runs(piece))
             least = np.repeat(refs[starts], np.diff(np.append(starts, len(tokens))))
             ties = np.unique(np.stack([refs, least])[:, refs != least], axis=1)
-            n = len(starts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([tokens[starts].view(np.int64), np.zeros(ties.shape[1], np.int64)])), pa.array(np.concatenate([np.full(n, -1), ties[0]])), pa.array(np.concatenate([refs[starts], ties[1]]))],
-                ["token", "u", "v"],
-            )
+            n, none = len(starts), np.zeros(ties.shape[1], np.int64)
+            columns = [np.concatenate(x) for x in ((piece[starts], none), (tokens[starts].view(np.int64), none), (np.full(n, -1), ties[0]), (refs[starts], ties[1]))]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["piece", "token", "u", "v"])
 
         size = 0
         for batch in batches:
-            for ref, n, tokens, common in zip(*(batch.column(c).to_pylist() for c in ("ref", "n", "tokens", "common")), strict=True):
-                held.append((ref, first_tokens(np.frombuffer(tokens, np.uint64), np.frombuffer(common, np.uint8), n, percent, 0)))
-                size += len(held[-1][1])
+            for piece, *node in zip(*(batch.column(c).to_pylist() for c in ("piece", "ref", "tokens", "common", "n", "cuts")), strict=True):
+                held.append((piece, node[0], Node(*node[1:]).prefix(percent, which)))
+                size += len(held[-1][2])
                 if size > S.FLUSH:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    ties = written(found.mapInArrow(tie, "token long, u long, v long"), "ties")
-    heads = ties.where("u < 0").groupBy("token").agg(F.min("v").alias("least"), F.collect_set("v").alias("all")).where(F.size("all") > 1)  # one entry a task at most
-    across = heads.select(F.explode("all").alias("u"), F.col("least").alias("v"))
+    ties = written(nodes.select("piece", *_COLUMNS).mapInArrow(tie, "piece long, token long, u long, v long"), "ties")
+    heads = ties.where("u < 0").select("piece", "token", "v")
+    least = written(heads.groupBy("piece", "token").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").select("piece", "token", "least"), "heads")
+    across = heads.join(least, ["piece", "token"]).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))  # a row a task and token at most
     return connected_components(ties.where("u >= 0").select("u", "v").unionByName(across)).select(F.col("u").alias("ref"), "root")
 
 
-def _components(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """members: doc_id, n, sig, ref, h for every row; component: sig, root, component."""
-    spark = documents.sparkSession
-    members, found = _candidates(documents, width, percent)
-    least = _pieces_of(found, percent)
-    tied = written(found.join(least.unionByName(least.select(F.col("root").alias("ref"), "root").distinct()), "ref"), "tied")
-    sizes = written(tied.groupBy("root").agg(F.ceil(F.count("*") / SLICE).cast("long").alias("slices")), "pieces")
-    cut = tied.join(sizes, "root").withColumn("slice", F.pmod(F.xxhash64("ref"), F.col("slices")))
-    pair = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
-    dealt = cut.select("root", "ref", "n", "tokens", "common", "slices", "slice", pair)
-    few = 8 * partitions(spark)
-    dealt = dealt.select(
-        F.when(F.col("slices") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(few))).alias("cell"),
-        F.least("slice", "other").alias("a"),
-        F.greatest("slice", "other").alias("b"),
-        (F.col("slice") > F.col("other")).alias("side"),
-        "root", "ref", "n", "tokens", "common",
-    )
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with their piece, without those that hang together with none."""
+    whole = written(roots.unionByName(roots.select(F.col("root").alias("ref"), "root").distinct()), "roots")
+    return nodes.drop("piece").join(whole, "ref").withColumnRenamed("root", "piece")
+
+
+def _links(found: DataFrame, percent: int, work: Accumulator | None) -> DataFrame:
+    """u, v: a spanning forest of the links among nodes."""
+    spark = found.sparkSession
+    nodes = written(_rooted(found, _pieces_of(found.withColumn("piece", F.lit(0).cast("long")), percent, 0)), "nodes")
 
     def verify(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("root", "ref", "side", "n", "tokens", "common")), strict=True), key=lambda r: r[:2])
-        roots = np.array([r[0] for r in rows], np.int64)
-        edges = np.append(S.runs(roots), len(roots))
+        """Links in each piece of a cell, between nodes of different groups and sides."""
+        names = ("piece", "ref", "own", "side", "tokens", "common", "n", "cuts")
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda r: r[:2])
+        edges = np.append(S.runs(np.array([r[0] for r in rows], np.int64)), len(rows))
         left, right = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             some = rows[a:b]
             refs = np.array([r[1] for r in some], np.int64)
-            i, j = linked([(np.frombuffer(r[4], np.uint64), np.frombuffer(r[5], np.uint8), r[3]) for r in some], np.array([r[2] for r in some], bool), percent)
+            i, j, n = linked([Node(*r[4:]) for r in some], *(np.array([r[k] for r in some], np.int64) for k in (2, 3)), percent)
+            if work:
+                work.add(n)
             parent = unite(np.arange(len(some)), i, j)
             tree = np.flatnonzero(parent != np.arange(len(some)))
             left.append(refs[tree])
             right.append(refs[parent[tree]])
         return pa.table({"u": pa.array(np.concatenate(left)), "v": pa.array(np.concatenate(right))})
 
-    links = written(dealt.groupBy("cell", "a", "b").applyInArrow(verify, "u long, v long"), "links")
-    roots = connected_components(links).select(F.col("u").alias("ref"), "root")
-    named = members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")).join(roots, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    def meet(some: DataFrame, *by: str) -> DataFrame:
+        return some.select("piece", "own", "side", *_COLUMNS, *[c for c in by if c != "piece"]).groupBy(*by).applyInArrow(verify, "u long, v long")
+
+    def sized(some: DataFrame) -> DataFrame:
+        """Nodes with the size of their piece; sizes are written, so that a piece of many nodes can be split."""
+        return some.join(written(some.groupBy("piece").agg(F.count("*").alias("size")), "sizes"), "piece")
+
+    nodes = sized(nodes)
+    large = nodes.where(F.col("size") > SLICE).drop("size")
+    small = [nodes.where(F.col("size") <= SLICE).drop("size")]
+    found_links = []
+    for which in range(1, ORDERS):  # what all orders leave together
+        if not large.limit(1).count():
+            break
+        again = sized(written(_rooted(large, _pieces_of(large, percent, which)), "nodes"))
+        large = again.where(F.col("size") > SLICE).drop("size")
+        small.append(again.where(F.col("size") <= SLICE).drop("size"))
+    if large.limit(1).count():
+        found_links = _large_links(written(large, "large"), sized, meet)
+    together = small[0]
+    for s in small[1:]:
+        together = together.unionByName(s)
+    together = written(together, "small")
+    bytes_ = together.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    cells = max(8 * partitions(spark), -(-bytes_ // (8 << 20)))
+    out = meet(together.withColumn("own", F.col("ref")).withColumn("side", F.lit(-1)).withColumn("cell", F.pmod(F.xxhash64("piece"), F.lit(cells))), "cell")
+    for links in found_links:
+        out = out.unionByName(links)
+    return written(out, "links")
+
+
+def _large_links(large: DataFrame, sized, meet) -> list[DataFrame]:
+    """Links of large pieces: first those of slices that each hold the piece's leaders, then those of what isn't in its largest group."""
+    cut = written(sized(large).withColumn("slices", F.ceil(F.col("size") / SLICE).cast("long")).withColumn("slice", F.pmod(F.xxhash64("ref"), F.col("slices"))), "slices")
+    drawn = cut.select("piece", "ref", F.row_number().over(Window.partitionBy("piece").orderBy(F.xxhash64(F.lit(1), "ref"), "ref")).alias("k"))  # a task keeps only its first
+    leaders = written(cut.join(written(drawn.where(F.col("k") <= LEADERS).select("ref"), "drawn"), "ref"), "leaders")
+    copies = leaders.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    both = cut.join(leaders.select("ref"), "ref", "left_anti").unionByName(copies.select(*cut.columns)).withColumn("own", F.col("ref")).withColumn("side", F.lit(-1))
+    first = written(meet(both, "piece", "slice"), "links")
+    groups = connected_components(first).select(F.col("u").alias("ref"), F.col("root").alias("own"))
+    named = written(cut.drop("slice", "slices", "size").join(groups, "ref", "left").withColumn("own", F.coalesce("own", "ref")), "named")
+    most = named.groupBy("piece", "own").agg(F.count("*").alias("k")).groupBy("piece").agg(F.sum("k").alias("size"), F.max(F.struct("k", "own")).alias("top"))
+    most = written(most.select("piece", F.col("top.own").alias("main"), F.ceil(F.col("top.k") / SLICE).cast("long").alias("mains"), F.ceil((F.col("size") - F.col("top.k")) / SLICE).cast("long").alias("rests")).where("rests > 0"), "groups")
+    rows = named.join(most, "piece").withColumn("outer", F.col("own") != F.col("main"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("ref"), F.when(F.col("outer"), F.col("rests")).otherwise(F.col("mains"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
+    inner = F.transform(upto(F.col("rests")), lambda x: pair(F.least(x, F.col("slice")), F.greatest(x, F.col("slice")), 0))
+    across = F.when(F.col("outer"), F.transform(upto(F.col("mains")), lambda x: pair(F.col("slice"), x, 1))).otherwise(F.transform(upto(F.col("rests")), lambda x: pair(x, F.col("slice"), 1)))
+    met = rows.withColumn("at", F.explode(F.when(F.col("outer"), F.concat(inner, across)).otherwise(across))).select("piece", "own", "slice", "outer", *_COLUMNS, "at.a", "at.b", "at.kind")
+    met = met.withColumn("side", F.when(F.col("kind") == 1, F.col("outer").cast("int")).when(F.col("a") == F.col("b"), -1).otherwise((F.col("slice") == F.col("b")).cast("int")))
+    return [first, meet(met, "piece", "kind", "a", "b")]
+
+
+def _components(documents: DataFrame, width: int, percent: int, work: Accumulator | None = None) -> tuple[DataFrame, DataFrame]:
+    """members: doc_id, n, sig, ref, h for every row; component: sig, root, component."""
+    members, found = _candidates(documents, width, percent)
+    size = F.octet_length("tokens") / 8
+    nodes = written(found.groupBy("node").agg(F.min("ref").alias("head"), F.count("*").alias("many")), "heads")
+    in_nodes = written(found.select("ref", "node", (100 * size >= percent * (2 * F.col("n") - size)).alias("alike")).join(nodes, "node").select("ref", "head", (F.col("alike") & (F.col("many") > 1)).alias("alike")), "in_nodes")
+    links = _links(found.drop("node").join(nodes.select(F.col("head").alias("ref")), "ref", "left_semi"), percent, work)
+    roots = connected_components(links)
+    roots = written(roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()), "roots")
+    placed = in_nodes.join(roots, in_nodes["head"] == roots["u"], "left").select("ref", F.coalesce("root", F.when(F.col("alike"), F.col("head")), "ref").alias("root"))
+    sets = written(members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")), "sets")
+    named = written(sets.join(placed, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root")), "named")
+    smallest = written(named.groupBy("root").agg(F.min("least").alias("component")), "smallest")
     return members, written(named.join(smallest, "root").select("sig", "root", "component"), "components")
 
 
-def link_documents(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def link_documents(documents: DataFrame, width: int = 5, percent: int = 75, work: Accumulator | None = None) -> DataFrame:
     """Components of documents (doc_id, text) by links of Jaccard similarity >= percent / 100.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).  Texts
     that are null or have no words have no shingles and link with nothing.  Equal sets link; a null doc_id
     takes part but never names a component unless all are null.  Repeated rows come back one each;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows.  `work` counts the pairs verified.
     """
-    members, component = _components(documents, width, percent)
+    members, component = _components(documents, width, percent, work)
     return members.join(component, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -73,10 +73,69 @@ def test_prefix_orders_lose_no_link(sets):
     given_ = []
     for a in arrays:
         shared = np.array([t for t in a if count[int(t)] > 1], np.uint64)
-        given_.append((shared, np.array([min(count[int(t)], ngram_join.CAP) for t in shared], np.uint8), len(a)))
-    i, j = ngram_join.linked(given_, np.zeros(len(sets), bool), 75)
+        common = np.array([min(count[int(t)], ngram_join.CAP) for t in shared], np.uint8)
+        given_.append(ngram_join.Node(shared.tobytes(), common.tobytes(), len(a), ngram_join.cuts(a, 75).tobytes()))
+    i, j, _ = ngram_join.linked(given_, np.arange(len(sets)), np.full(len(sets), -1), 75)
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    sides = np.arange(len(sets)) % 2
+    i, j, _ = ngram_join.linked(given_, np.arange(len(sets)), sides, 75)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in want if sides[a] != sides[b]}
+
+
+@pytest.mark.parametrize("size", [3, 16])
+def test_ngram_join_of_large_pieces(documents, texts, union, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "SLICE", size)
+    assert Counter(tuple(r) for r in ngram_join.link_documents(documents).collect()) == Counter(brute_components(texts, union))
+
+
+def pages_of_one_template(n, r, words):
+    """Four fifths of each page are the template's, so that no two are linked; every tenth is a near copy of the one before."""
+    template = [r.choice(words) for _ in range(160)]
+    rows = []
+    for k in range(n):
+        own = rows[-1][1].split()[160:] if k % 10 == 9 else [f"{r.choice(words)}{r.randrange(10**6)}" for _ in range(36)]
+        rows.append((k, " ".join(template + own[:35] + [f"x{k}"])))
+    return rows
+
+
+def test_pages_of_one_template(spark, words, union):
+    rows = pages_of_one_template(400, random.Random(3), words)
+    work = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in ngram_join.link_documents(df, work=work).collect()) == Counter(brute_components(rows, union))
+
+
+def test_verified_pairs_of_a_template_grow_with_the_pages(spark, words):
+    counts = []
+    for n in (2000, 4000):
+        r = random.Random(5)
+        template = [r.choice(words) for _ in range(160)]
+        rows = [(k, " ".join(template + [f"{r.choice(words)}{r.randrange(10**9)}" for _ in range(40)])) for k in range(n)]
+        work = spark.sparkContext.accumulator(0)
+        found = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work=work).collect()
+        assert all(r.doc_id == r.component_id for r in found)
+        counts.append(work.value)
+    assert counts[1] <= 2.2 * counts[0] + 10
+
+
+def test_verified_pairs_of_near_copies_grow_with_the_copies(spark, words, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 32)
+    counts = []
+    for n in (600, 1200):
+        r = random.Random(6)
+        base = [r.choice(words) for _ in range(200)]
+        rows = []
+        for k in range(n):
+            own = list(base)
+            for _ in range(2):
+                own[r.randrange(200)] = f"z{r.randrange(10**9)}"
+            rows.append((k, " ".join(own)))
+        work = spark.sparkContext.accumulator(0)
+        found = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work=work).collect()
+        assert {r.component_id for r in found} == {0}
+        counts.append(work.value)
+    assert counts[1] < 3 * counts[0] and counts[1] < 0.2 * 1200**2 / 2
 
 
 def brute_cuts(texts, length=50):
