@@ -2,17 +2,17 @@
 
 In a participant's rendering its own turns are the assistant's, the others' are a named user's and
 system turns stay the system's.  Target spans cover the assistant's words and end marks, as character
-offsets into the rendering.  Long dialogues come in segments of `segment_turns` turn numbers, so no
-row gathers more turn numbers than that, and each segment is rendered from offset 0.  Rows that share
-a number, or have none, stay in one segment whatever their number.
+offsets into the rendering.  Long dialogues come in segments of `segment_turns` turn numbers, each rendered from offset 0.
+A segment of more rows than `segment_rows`, whose turns share numbers or have none, comes in parts, so no row gathers more than that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+_CONTROL = r"[\x00-\x1F\x7F]"  # could forge a header in a name
 
 
 def _safe(column):
@@ -20,22 +20,23 @@ def _safe(column):
     return F.replace(column, F.lit("<|im_"), F.lit("<| im_"))
 
 
-def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, system: str = "system") -> DataFrame:
+def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, system: str = "system", segment_rows: int = 4096) -> DataFrame:
     """Render conversations (conv_id, turn, role, text) once per participant and segment.
 
-    Returns conv_id, perspective, segment, n_turns, n_targets, rendered, target_spans ("begin:end" in
-    characters, joined by commas).  A participant is a role other than `system`; a null role is the
-    participant "unknown", a null text is empty, a null turn stands before all others in segment -1,
-    a null conv_id is a dialogue of its own.  Rows repeated exactly are one turn, and those that share a turn
-    number stand in order of role and text.  A dialogue of system turns alone has no rendering.
-    Other columns are ignored; an empty table gives no rows.
+    Returns conv_id, perspective, segment, part, n_turns, n_targets, rendered, target_spans ("begin:end" in
+    characters, joined by commas).  A participant is a role other than `system`; control characters in a role become spaces, a null
+    role is the participant "unknown", a null text is empty, a null turn stands before all others in segment -1, a null conv_id is a
+    dialogue of its own.  Every row is a turn, repeated ones too; turns that share a number stand in order of role and
+    text.  A dialogue of system turns alone has no rendering.  Other columns are ignored; an empty table gives no rows.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(-1)).cast("long").alias("segment"),
-        F.struct(F.col("turn").cast("long").alias("turn"), _safe(F.coalesce(F.col("role"), F.lit("unknown"))).alias("role"), _safe(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"),
+        F.struct(F.col("turn").cast("long").alias("turn"), _safe(F.regexp_replace(F.coalesce(F.col("role"), F.lit("unknown")), _CONTROL, " ")).alias("role"), _safe(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"),
     )
-    segments = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_set("t")).alias("turns"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy("t")) - 1  # dealt as the sum below is, so rows move once
+    numbered = turns.withColumn("place", place).withColumn("part", F.floor(F.col("place") / segment_rows).cast("long"))
+    segments = numbered.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("place", F.col("t.role").alias("role"), F.col("t.text").alias("text")))).alias("turns"))
     speakers = turns.where(F.col("t.role") != system).select(F.col("conv_id").alias("of"), F.col("t.role").alias("perspective")).distinct()
     who = segments.join(speakers, segments.conv_id.eqNullSafe(speakers.of))
 
@@ -55,6 +56,7 @@ def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, syst
         "conv_id",
         "perspective",
         "segment",
+        "part",
         F.size("parts").cast("long").alias("n_turns"),
         F.size(F.filter("parts", lambda p: p.target)).cast("long").alias("n_targets"),
         F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body, F.lit("\n"))), "").alias("rendered"),
@@ -63,21 +65,21 @@ def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, syst
 
 
 ORACLE = f"""
-WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(floor(turn / 256.0), -1)::BIGINT AS segment, turn,
-         replace(coalesce(role, 'unknown'), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+WITH c AS (
+  SELECT conv_id, coalesce(floor(turn / 256.0), -1)::BIGINT AS segment, turn,
+         replace(regexp_replace(coalesce(role, 'unknown'), '{_CONTROL}', ' ', 'g'), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
   FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM c),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 r AS (
-  SELECT t.*, p.perspective, t.role = p.perspective AS target, text || '{END}' AS body,
+  SELECT t.*, place // 4096 AS part, p.perspective, t.role = p.perspective AS target, text || '{END}' AS body,
          CASE WHEN role = 'system' THEN '{START}system' WHEN role = p.perspective THEN '{START}assistant' ELSE '{START}user name=' || role END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, perspective ORDER BY turn NULLS FIRST, role, text)
-            - length(body) - 1 AS begins
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, part, perspective ORDER BY place) - length(body) - 1 AS begins
   FROM r)
-SELECT conv_id, perspective, segment, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE target)::BIGINT AS n_targets,
-       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+SELECT conv_id, perspective, segment, part::BIGINT AS part, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE target)::BIGINT AS n_targets,
+       string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,
        coalesce(string_agg(begins::BIGINT || ':' || (begins + length(body))::BIGINT, ',' ORDER BY begins) FILTER (WHERE target), '') AS target_spans
-FROM o GROUP BY conv_id, perspective, segment
+FROM o GROUP BY conv_id, perspective, segment, part
 """
