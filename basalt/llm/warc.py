@@ -105,9 +105,9 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = 0) -> DataF
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("html")))
-    same = rows.where(F.length("html") >= least_revisit).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha1", "last")
-    ready = rows.join(written(same, "payloads"), "sha1", "left")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("html"))).withColumn("sha256", F.unhex(F.sha2("html", 256)))  # the first names a payload, the second tells it from others
+    same = rows.where(F.length("html") >= least_revisit).groupBy("sha256").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha256", "last")
+    ready = rows.join(written(same, "payloads"), "sha256", "left")
     fs, top = store(path)
     fs.create_dir(top, recursive=True)
 
@@ -204,33 +204,58 @@ class Index:
     def _block(self, file: str, at: int, size: int):
         return self._once((file, at), lambda: [x.split(_LINE) for x in zlib.decompress(self._open(file).read_at(size, at)).decode("utf-8", "surrogatepass").split("\n")])
 
-    def captures(self, key: str) -> Iterator[tuple[str, int, int]]:
-        """file, offset and length of each capture of a key."""
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """Index file, offset and size of each block that may hold captures of a key."""
         k = bisect_left(self.lasts, key)
         while k < len(self.files) and self.files[k][0] <= key:
             directory = self._directory(self.files[k][2])
             b = max(0, bisect_left(directory, (key,)) - 1)
             while b < len(directory) and directory[b][0] <= key:
-                block = self._block(self.files[k][2], *directory[b][1:])
-                i = bisect_left(block, [key])
-                while i < len(block) and block[i][0] == key:
-                    yield block[i][1], int(block[i][2]), int(block[i][3])
-                    i += 1
+                yield self.files[k][2], *directory[b][1:]
                 b += 1
             k += 1
 
+    def in_block(self, key: str, file: str, at: int, size: int) -> Iterator[tuple[str, int, int]]:
+        """file, offset and length of each capture of a key in a block."""
+        block = self._block(file, at, size)
+        i = bisect_left(block, [key])
+        while i < len(block) and block[i][0] == key:
+            yield block[i][1], int(block[i][2]), int(block[i][3])
+            i += 1
+
+    def captures(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """file, offset and length of each capture of a key."""
+        for block in self.blocks(key):
+            yield from self.in_block(key, *block)
+
     def read(self, file: str, offset: int, length: int) -> dict:
         return parse_record(zlib.decompress(self._open(file).read_at(length, offset), 31))
 
 
 def read_pages(spark: SparkSession, urls: DataFrame, path: str, files: list[tuple[str, str, str]], keep_payload: bool = False) -> DataFrame:
-    """All captures of the distinct keys of urls (url), each read by its range."""
+    """All captures of the distinct keys of urls (url), each read by its range.
+
+    Keys find their blocks of the index first; it is these that are dealt out, so a key that a third of all pages have is read by many tasks.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"key": pa.array([reversed_host_key(u) for u in batch.column("url").to_pylist()], pa.string())})
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, made = Index(path, files), []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "at", "size"])
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                for block in index.blocks(key):
+                    made.append((key, *block))
+                    if len(made) == 10_000:
+                        yield out()
+                        made = []
+        if made:
+            yield out()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(path, files)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -242,8 +267,8 @@ def read_pages(spark: SparkSession, urls: DataFrame, path: str, files: list[tupl
 
         found, size = [], 0
         for batch in batches:
-            for key in batch.column("key").to_pylist():
-                for place in index.captures(key):
+            for key, *block in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "at", "size")), strict=True):
+                for place in index.in_block(key, *block):
                     r = index.read(*place)
                     found.append((r["page_id"], r["payload_bytes"], r["digest"], r["kind"], r["refers_to"], r["payload"])[:width])
                     size += 200 + len(r["payload"] or b"") * keep_payload
@@ -254,7 +279,8 @@ def read_pages(spark: SparkSession, urls: DataFrame, path: str, files: list[tupl
             yield out(found)
 
     wanted = written(urls.select(F.col("url").cast("string")).mapInArrow(keys, "key string").distinct(), "keys")
-    return wanted.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(read, schema)
+    blocks = wanted.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(find, "key string, file string, at long, size long")
+    return blocks.repartition(partitions(spark), "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(read, schema)
 
 
 ORACLE = """
