@@ -5,6 +5,7 @@ A file holds the documents of a range of doc_id:
     b"BTOK1\\n" | JSON header line: dictionary (SHA-256), documents, first_id, id_bytes
     one zstandard frame per document, its ids as little-endian unsigned integers
     index: doc_id, end of the frame, ids so far, each documents * int64
+    int64: how many of the first documents have no doc_id
     int64: where the index begins
 
 So one document is read with the index and one range.  The dictionary lies beside the files,
@@ -30,7 +31,7 @@ from ._common import new_path, partitions, pieces, texts_of
 from .tokenizing import encoder
 
 MAGIC = b"BTOK1\n"
-_NULL = np.iinfo(np.int64).min  # a null doc_id, in files
+_SHORT = 1 << 16  # bytes of a text that the dictionary may be trained on
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -38,9 +39,9 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(documents: DataFrame, tokenizer: str, dtype: str, sample: int, size: int) -> bytes:
-    """A zstandard dictionary from the id arrays of at most `sample` documents, drawn by a hash of doc_id."""
-    texts = documents.where("text is not null")
-    share = int(min(1.0, 1.5 * sample / max(1, documents.count())) * (1 << 30))
+    """A zstandard dictionary from the id arrays of at most `sample` documents of up to 64 KiB, drawn by a hash of doc_id; it serves short documents."""
+    texts = documents.where(F.octet_length("text") <= _SHORT)
+    share = int(min(1.0, 1.5 * sample / max(1, texts.count())) * (1 << 30))
     rows = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(sample).collect()
     if not rows:
         return b""
@@ -56,7 +57,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode documents (doc_id, text) and write them in ascending doc_id order; the manifest, one row per file, comes back.
 
     Null texts are empty; rows with a null doc_id come first; repeated rows are each written, in
-    the order of their ids; an empty table gives an empty manifest.
+    the order of their ids; an empty table gives an empty manifest.  `sample` bounds the documents that the dictionary is trained on.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -79,10 +80,10 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
         for batch in pieces(batches, "text"):
             ids, begins = own_encoder.encode(texts_of(batch))
             ids = ids.astype(dtype)
-            docs = np.array([_NULL if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            docs = np.asarray(batch.column("doc_id").fill_null(np.iinfo(np.int64).min), np.int64)
             frames = [packer.compress(np.concatenate([ids[a:b], end]).tobytes()) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, docs, "right").astype(np.int32)), pa.array(docs), pa.array(np.diff(begins) + 1), pa.array(frames, pa.binary())], ["shard", "doc_id", "n", "frame"]
+                [pa.array(np.searchsorted(bounds, docs, "right").astype(np.int32)), batch.column("doc_id"), pa.array(np.diff(begins) + 1), pa.array(frames, pa.binary())], ["shard", "doc_id", "n", "frame"]
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +91,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
         out, now, index = None, None, []
 
         def close():
-            docs, sizes, ns = (np.concatenate(c) for c in zip(*index, strict=True))
+            docs, nulls, sizes, ns = (np.concatenate(c) for c in zip(*index, strict=True))
             header = len(MAGIC) + header_size
-            out.write(docs.tobytes() + (header + np.cumsum(sizes)).tobytes() + np.cumsum(ns).tobytes() + np.int64(header + sizes.sum()).tobytes())
+            out.write(docs.tobytes() + (header + np.cumsum(sizes)).tobytes() + np.cumsum(ns).tobytes() + np.int64(nulls.sum()).tobytes() + np.int64(header + sizes.sum()).tobytes())
             out.close()
             return pa.RecordBatch.from_pydict({"shard": [now], "file": [file], "documents": [len(docs)], "tokens": [int(ns.sum())], "dictionary": [name]}, schema=manifest)
 
@@ -112,13 +113,13 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, end_id: int =
                 part = batch.slice(a, b - a)
                 frames = part.column("frame").to_pylist()
                 out.write(b"".join(frames))
-                index.append((np.asarray(part.column("doc_id"), np.int64), np.fromiter(map(len, frames), np.int64, len(frames)), np.asarray(part.column("n"), np.int64)))
+                index.append((np.asarray(part.column("doc_id").fill_null(0), np.int64), np.asarray(part.column("doc_id").is_null()), np.fromiter(map(len, frames), np.int64, len(frames)), np.asarray(part.column("n"), np.int64)))
         if out:
             yield close()
 
     manifest = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("dictionary", pa.string())])
     encoded = documents.mapInArrow(encode, "shard int, doc_id long, n long, frame binary")
-    dealt = encoded.repartition(files, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("frame"))
+    dealt = encoded.repartitionById(files, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"))  # a file a task
     rows = dealt.mapInArrow(write, "shard int, file string, documents long, tokens long, dictionary string").collect()  # a row per file
     return spark.createDataFrame(sorted(rows), "shard int, file string, documents long, tokens long, dictionary string")
 
@@ -132,19 +133,20 @@ def _opened(fs, top: str, file: str, kept: dict):
         raise ValueError(f"{file} isn't a token file")
     line = head[len(MAGIC) :].split(b"\n", 1)[0]
     header = json.loads(line)
-    docs, ends, tokens = np.frombuffer(f.read_at(size - 8 - at, at), np.int64).reshape(3, -1)
+    tail = np.frombuffer(f.read_at(size - 8 - at, at), np.int64)
+    docs, ends, tokens = tail[:-1].reshape(3, -1)
     if (name := header["dictionary"]) not in kept:
         raw = fs.open_input_file(f"{top}/{name}.zdict").read()
         if hashlib.sha256(raw).hexdigest() != name:
             raise ValueError(f"the dictionary {name} was changed")
         kept[name] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-    return f, docs, np.concatenate([[len(MAGIC) + len(line) + 1], ends]), np.concatenate([[0], tokens]), kept[name], f"<u{header['id_bytes']}"
+    return f, docs, int(tail[-1]), np.concatenate([[len(MAGIC) + len(line) + 1], ends]), np.concatenate([[0], tokens]), kept[name], f"<u{header['id_bytes']}"
 
 
 def read_document(path: str, file: str, row: int) -> np.ndarray:
     """The ids of one document of a file: its index, then one range."""
     fs, top = store(path)
-    f, _, ends, _, unpacker, dtype = _opened(fs, top, file, {})
+    f, _, _, ends, _, unpacker, dtype = _opened(fs, top, file, {})
     return np.frombuffer(unpacker.decompress(f.read_at(int(ends[row + 1] - ends[row]), int(ends[row]))), dtype)
 
 
@@ -161,7 +163,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, keep_ids: b
         kept: dict = {}
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                f, docs, ends, tokens, unpacker, dtype = _opened(fs, top, file, kept)
+                f, docs, nulls, ends, tokens, unpacker, dtype = _opened(fs, top, file, kept)
                 lo = 0
                 while lo < len(docs):
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (4 << 20), "right")) - 1)
@@ -169,7 +171,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, keep_ids: b
                     ids = [np.frombuffer(unpacker.decompress(raw[ends[k] - ends[lo] : ends[k + 1] - ends[lo]]), dtype).astype("<u4") for k in range(lo, hi)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(docs[lo:hi], mask=docs[lo:hi] == _NULL),
+                            pa.array(docs[lo:hi], mask=np.arange(lo, hi) < nulls),
                             pa.array(base + tokens[lo:hi]),
                             pa.array([len(x) for x in ids], pa.int64()),
                             pa.array([zlib.crc32(x) for x in ids], pa.int64()),
