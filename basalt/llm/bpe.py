@@ -5,14 +5,14 @@ leftmost pair of the lowest rank, replaces it by its merged part and closes the
 loses one column a round; rows without a pair leave it.  Ranks of neighbours come from a hash table
 of all pairs of the vocabulary, and only the two pairs beside a merge are looked up anew.
 
-Pieces over LONG bytes would need as many rounds as bytes; they are merged with a heap instead.
+Pieces over LONG bytes would need as many rounds as bytes.  A matrix of one such row merges all pairs of its lowest
+rank in a round, from the left up to the first that forms a pair of a lower rank, which would have come before the next.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -116,24 +116,30 @@ class Bpe:
                 rank[ok, side[ok]] = np.where(right < 0, _NONE, self.pairs.find(left, right))
         return out
 
-    def _heap(self, piece: bytes) -> bytes:
-        n = len(piece)
-        ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
-        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
-        first = self.pairs.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(first.tolist()) if r != _NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, k, left, right = heapq.heappop(heap)
-            if ids[k] != left or (j := after[k]) < 0 or ids[j] != right:
-                continue
-            ids[k], ids[j], after[k] = r, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (rank := self.ranks.get(self.parts[ids[a]] + self.parts[ids[b]])) is not None:
-                    heapq.heappush(heap, (rank, a, ids[a], ids[b]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def _row(self, piece: bytes) -> bytes:
+        """One long piece, with all merges of a rank in a round."""
+        ids = self.bytes[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == low)
+            run = np.concatenate([[True], np.diff(at) > 1])  # pairs that share a part: every other one
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            beside = np.concatenate([[False], np.diff(at) == 2])  # the part before is new, too
+            left = np.where(beside, low, ids[np.maximum(at - 1, 0)])
+            before = np.where(at > 0, self.pairs.find(left, np.full(len(at), low, np.int32)), _NONE)
+            ends = at + 2 < len(ids)
+            after = np.where(ends, self.pairs.find(np.full(len(at), low, np.int32), ids[np.minimum(at + 2, len(ids) - 1)]), _NONE)
+            sooner = np.flatnonzero(np.minimum(before, after) < low)
+            at = at[: sooner[0] + 1] if len(sooner) else at
+            ids[at] = low
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, place = ids[keep], at - np.arange(len(at))
+            rank = rank[keep[1:]]  # of each pair that is left, but for those beside a merge
+            for side in (place - 1, place):
+                side = side[(side >= 0) & (side < len(rank))]
+                rank[side] = self.pairs.find(ids[side], ids[side + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode_pieces(self, some: list[bytes]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit bytes."""
@@ -143,7 +149,7 @@ class Bpe:
             if (whole := self.ranks.get(piece)) is not None:
                 out[k] = whole.to_bytes(4, "little")
             elif len(piece) > LONG:
-                out[k] = self._heap(piece)
+                out[k] = self._row(piece)
             elif piece:
                 n = len(piece)
                 buckets.setdefault(n if n <= 12 else -(-n // (step := 1 << (n.bit_length() - 3))) * step, []).append(k)
