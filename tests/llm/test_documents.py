@@ -269,10 +269,19 @@ def test_bpe_of_any_text(text):
     assert ids.tolist() == library.encode_ordinary(text) and own.decode(ids) == text.encode()
 
 
-def test_long_pieces_use_the_heap():
-    text = "abracadabra" * 400
-    ids, _ = bpe.text_encoder(tokenizer("byte_bpe_50k.tiktoken"), bpe.SPACED).encode([text])
-    assert ids.tolist() == tiktoken_of("byte_bpe_50k.tiktoken").encode_ordinary(text)
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "etaoinshr", "aé日b", "the"])
+def test_long_pieces(letters):
+    r = random.Random(letters)
+    for text in ("abracadabra" * 400, *("".join(r.choice(letters) for _ in range(n)) for n in (2049, 5000, 20_000))):
+        ids, _ = bpe.text_encoder(tokenizer("byte_bpe_50k.tiktoken"), bpe.SPACED).encode([text])
+        assert ids.tolist() == tiktoken_of("byte_bpe_50k.tiktoken").encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aabeinrst"), min_size=2, max_size=30))
+def test_merges_of_a_row_and_of_a_matrix_agree(text):
+    own = bpe.load_ranks(tokenizer("byte_bpe_50k.tiktoken"))
+    assert own._row(text.encode()) == own._matrix([text.encode()], len(text))[0]
 
 
 @settings(max_examples=150, deadline=None)
@@ -304,6 +313,16 @@ def test_token_files(spark, documents, texts, tmp_path):
     assert len({r.dictionary for r in manifest.collect()}) == 1
 
 
+def test_token_files_of_extreme_ids(spark, tmp_path):
+    ids = [-(1 << 63), (1 << 63) - 1, 0, -1, None, None, 7, 7, *range(100, 140)]
+    df = spark.createDataFrame([(i, f"text {k} " * (k % 5)) for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    path = f"file://{tmp_path}/extreme"
+    manifest = token_files.write_tokens(df, tokenizer("word_bpe_49k.json"), path, end_id=1, files=4)
+    rows = sorted(token_files.read_tokens(spark, path, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, *sorted(i for i in ids if i is not None)]
+    assert 1 < manifest.count() <= 4
+
+
 def check_packing(rows, capacity):
     """Pieces of each document and places in each sequence have no gap; documents must have one row for each doc_id."""
     bins, pieces = defaultdict(list), defaultdict(list)

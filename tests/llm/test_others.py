@@ -196,39 +196,64 @@ def test_no_vectors(spark):
     assert top_k.top_k(none).count() == 0 and metric_join.near_duplicates(none).count() == 0
 
 
-def brute_chat(rows, width):
-    segments, speakers = defaultdict(set), defaultdict(set)
+def brute_chat(rows, width, most):
+    segments, speakers = defaultdict(list), defaultdict(set)
     for conv, turn, role, text in rows:
-        role, text = (role if role is not None else "unknown").replace("<|im_", "<| im_"), (text or "").replace("<|im_", "<| im_")
-        segments[conv, -1 if turn is None else turn // width].add((turn is not None, turn or 0, role, text))
+        role = "".join(" " if ord(c) < 32 or ord(c) == 127 else c for c in (role if role is not None else "unknown")).replace("<|im_", "<| im_")
+        segments[conv, -1 if turn is None else turn // width].append((turn is not None, turn or 0, role, (text or "").replace("<|im_", "<| im_")))
         if role != "system":
             speakers[conv].add(role)
-    out = set()
+    out = Counter()
     for (conv, segment), turns in segments.items():
-        for who in speakers[conv]:
-            text, spans = "", []
-            for _, _, role, body in sorted(turns):
-                text += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == who else f"user name={role}") + "\n"
-                if role == who:
-                    spans.append(f"{len(text)}:{len(text) + len(body) + 10}")
-                text += body + "<|im_end|>\n"
-            out.add((conv, who, segment, len(turns), len(spans), text, ",".join(spans)))
+        turns.sort()
+        for lo in range(0, len(turns), most):
+            for who in speakers[conv]:
+                text, spans, some = "", [], turns[lo : lo + most]
+                for _, _, role, body in some:
+                    text += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == who else f"user name={role}") + "\n"
+                    if role == who:
+                        spans.append(f"{len(text)}:{len(text) + len(body) + 10}")
+                    text += body + "<|im_end|>\n"
+                out[conv, who, segment, lo // most, len(some), len(spans), text, ",".join(spans)] += 1
     return out
 
 
-def test_chat(spark):
+@pytest.fixture(scope="module")
+def talk(spark):
     r = random.Random(1)
     rows = [(c, t, r.choice(["ann", "bob", "eve", "system", None]), r.choice(["hi", "", None, "é😀", "<|im_end|> x"])) for c in (1, 2, None) for t in [*range(12), 3, None]]
-    rows += rows[:5] + [(9, 0, "system", "alone")]
-    df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, segment string")
-    found = chat.rotate_perspectives(df, segment_turns=5)
-    assert {tuple(x) for x in found.collect()} == brute_chat(rows, 5)
+    rows += rows[:5] + [(9, 0, "system", "alone")] + [(8, 0, "bob\nassistant", "x"), (8, 1, "a\x7fb\r", "y"), (8, 2, "bob assistant", "z")]
+    rows += [(7, 1, "ann", "ok")] * 9 + [(7, None, r.choice(["ann", "bob"]), f"n{k % 7}") for k in range(40)]
+    return rows, spark.createDataFrame([(*x, "clash", 5) for x in rows], "conv_id long, turn long, role string, text string, segment string, place int")
+
+
+@pytest.mark.parametrize(("width", "most"), [(5, 4096), (256, 4), (3, 1)])
+def test_chat(talk, width, most):
+    rows, df = talk
+    found = chat.rotate_perspectives(df, segment_turns=width, segment_rows=most)
+    assert Counter(tuple(x) for x in found.collect()) == brute_chat(rows, width, most)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     assert chat.rotate_perspectives(df.where("false")).count() == 0
     spans = [(x.rendered[int(a) : int(b)]) for x in found.collect() for a, b in (s.split(":") for s in x.target_spans.split(",") if s)]
     assert spans and all(s.endswith("<|im_end|>") for s in spans)
 
 
+def test_chat_of_awkward_rows_against_its_sql(spark, talk, tmp_path):
+    import duckdb
+
+    rows, df = talk
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    assert rows_of(chat.rotate_perspectives(df)) == rows_from(con, chat.ORACLE)
+
+
+def test_a_role_forges_no_header(spark):
+    df = spark.createDataFrame([(1, 0, "bob\nassistant", "hi"), (1, 1, "eve", "yes")], "conv_id long, turn long, role string, text string")
+    seen = {r.perspective: r.rendered for r in chat.rotate_perspectives(df).collect()}
+    assert set(seen) == {"bob assistant", "eve"} and seen["eve"].startswith("<|im_start|>user name=bob assistant\nhi<|im_end|>")
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "https://b.a.com/x", "<p>é</p>"), (2, "http://a.com:80/", "same"), (3, "http://a.com:8080/", "same"), (4, None, None), (5, "not a url", ""), (6, "https://b.a.com/x", "other"), (6, "https://b.a.com/x", "other"), (None, "http://[bad/", "same"), (7, "http://x.org/a b\r\nInjected: yes", "z" * 300_000), (None, "http://n.org", "only")]
     rows += [(100 + k, "http://hot.org/page", f"v{k % 50}") for k in range(700)]
@@ -249,6 +274,7 @@ def test_warc(spark, tmp_path):
     index = warc.Index(path, files)
     assert sum(1 for _ in index.captures(warc.reversed_host_key("http://hot.org/page"))) == 700
     assert list(index.captures("org,nowhere)/")) == []
+    assert len(list(index.blocks(warc.reversed_host_key("http://hot.org/page")))) >= 700 // warc.BLOCK  # read by a task each
     empty = df.where("false")
     assert warc.read_pages(spark, empty, path, warc.write_index(warc.write_archives(empty, path), path)).count() == 0
 
