@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import pieces, texts_of
+from ._common import cleared, pieces, texts_of, written
 
 UNKNOWN = "und"
 _ORDERS = (1, 2, 3, 4)
@@ -271,27 +271,38 @@ def folds(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages: int = 64, buckets: int = 1 << 14) -> Model:
+def fit_languages(documents: DataFrame, per_language: int = 1000, most_languages: int = 64, buckets: int = 1 << 14, sample_bytes: int = 256 << 20) -> Model:
     """Learn every language from some per_language labelled rows of each, or fewer where there are over most_languages.
 
-    The sample is bounded by the product of these parameters, or _LEAST_ROWS a language if that is more: a share of each
-    language is drawn by a hash of doc_id from the rows that aren't held out, and twice the bound is never passed.
+    The sample is bounded by the product of these parameters, or _LEAST_ROWS a language if that is more, and by the bytes of its counts, which
+    the driver learns from: a share of each language is drawn by a hash of doc_id from the rows that aren't held out.  Repeated rows are drawn
+    together and learned from as often as they come.  lang is what is learned, source is never read.
     """
     rows = documents.where("doc_id is not null and lang is not null and text is not null").where(~folds())
-    found = rows.groupBy("lang").count().collect()
+    found = rows.groupBy("lang").count().collect()  # a row a language
     bound = max(per_language * most_languages, _LEAST_ROWS * len(found))
     each = min(per_language, bound // len(found)) if found else 0
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, each / r["count"]))]) if found else F.create_map(F.lit(""), F.lit(0.0))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+
+    def below(shares: dict[str, float]):
+        share = F.create_map(*[F.lit(x) for item in shares.items() for x in item]) if shares else F.create_map(F.lit(""), F.lit(0.0))
+        return F.col("drawn") < share[F.col("lang")] * (1 << 20)
+
+    shares = {r["lang"]: min(1.0, each / r["count"]) for r in found}
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts = texts_of(batch)
             whole, head = ([Sample.of(t, buckets).packed() for t in some] for some in (texts, map(few_words, texts)))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(whole, pa.binary()), pa.array(head, pa.binary())], ["lang", "whole", "head"])
-
-    sampled = chosen.select("lang", "text").mapInArrow(featurize, "lang string, whole binary, head binary")
-    got = sampled.limit(2 * bound).collect()
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("drawn"), pa.array(whole, pa.binary()), pa.array(head, pa.binary())], ["lang", "drawn", "whole", "head"])
+
+    chosen = rows.select("lang", "text", drawn.alias("drawn")).where(below(shares))
+    with cleared(documents.sparkSession):
+        sampled = written(chosen.mapInArrow(featurize, "lang string, drawn long, whole binary, head binary"), "sample")
+        sizes = {r["lang"]: (r["n"], r["bytes"]) for r in sampled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("whole") + F.octet_length("head")).alias("bytes")).collect()}
+        if (total := sum(b for _, b in sizes.values())) > sample_bytes:
+            sampled = sampled.where(below({x: shares[x] * max(sample_bytes / total, min(1.0, _LEAST_ROWS / n)) for x, (n, _) in sizes.items()}))
+        got = sampled.limit(2 * bound).collect()
     return train([(r.lang, Sample.unpacked(r.whole), Sample.unpacked(r.head)) for r in sorted(got, key=lambda r: (r.lang, r.whole, r.head))], buckets)
 
 
@@ -315,7 +326,7 @@ def predict_languages(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Languages of all documents (doc_id, text, lang): doc_id, held_out, lang_pred, score, rejected."""
+    """Languages of all documents (doc_id, text, lang): doc_id, held_out, lang_pred, score, rejected.  Rows come back one each, repeated ones alike."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = model or fit_languages(rows)
     found = predict_languages(rows.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score", "rejected")
