@@ -48,6 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table that is done with."""
+    for file in df.inputFiles()[:1]:
+        remove(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 @contextmanager
 def cleared(spark: SparkSession, kept: list[DataFrame] | None = None) -> Iterator[None]:
     """What operators write inside is deleted at the end, so write or collect results inside.

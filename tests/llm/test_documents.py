@@ -138,7 +138,8 @@ def test_verified_pairs_of_near_copies_grow_with_the_copies(spark, words, monkey
     assert counts[1] < 3 * counts[0] and counts[1] < 0.2 * 1200**2 / 2
 
 
-def brute_cuts(texts, length=50):
+def brute_gone(texts, length=50):
+    """Each document's bytes, and which of them go."""
     first: dict[bytes, int] = {}
     raw = [(d, (t or "").encode()) for d, t in texts]
     for d, b in raw:
@@ -146,14 +147,22 @@ def brute_cuts(texts, length=50):
             for i in range(len(b) - length + 1):
                 w = b[i : i + length]
                 first[w] = min(first.get(w, d), d)
-    out = []
     for d, b in raw:
         gone = bytearray(len(b))
         if d is not None:
             for i in range(len(b) - length + 1):
                 if first[b[i : i + length]] < d:
                     gone[i : i + length] = b"\1" * length
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        yield d, b, gone
+
+
+def brute_kept(texts, length=50):
+    return [(d, bytes(x for x, g in zip(b, gone, strict=True) if not g)) for d, b, gone in brute_gone(texts, length)]
+
+
+def brute_cuts(texts, length=50):
+    out = []
+    for (d, b, gone), (_, kept) in zip(brute_gone(texts, length), brute_kept(texts, length), strict=True):
         out.append((d, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
@@ -450,6 +459,57 @@ def test_languages_by_held_out_accuracy(spark, data):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+def slow_prediction(model, text):
+    """Language and score by the definition: one n-gram after another."""
+    codes = [ord(c) if c.isalpha() else 0 for c in text.lower()]
+    total, n, shift = np.zeros(len(model.languages)), 0, 32 - (len(model.table) - 1).bit_length()
+    for i in range(len(codes)):
+        h = 0
+        for k in range(1, 5):
+            if i + k > len(codes) or not codes[i + k - 1]:
+                break
+            h = (h * 0x01000193 + codes[i + k - 1] + k) % 2**32
+            mixed = h ^ h >> 15
+            total += model.table[mixed * 0x9E3779B1 % 2**32 >> shift]
+            n += 1
+    if not n:
+        return "und", 0.0
+    z = (total / n + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return model.languages[int(z.argmax())], p.max() / p.sum()
+
+
+def test_predictions_by_the_definition(spark, data, texts):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit_languages(docs)
+    some = [(i, t) for i, t in enumerate([t for _, t in texts if len(t or "") < 5000] + [r.text for r in docs.limit(60).collect()])]
+    found = langid.identify(spark.createDataFrame(some, "doc_id long, text string").withColumn("lang", F.lit("xx")), model).collect()
+    for r in found:
+        lang, score = slow_prediction(model, some[r.doc_id][1] or "")
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
+def test_only_text_and_labels_of_learned_rows_are_learned(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    changed = docs.withColumn("source", F.lit("other")).withColumn("n_chars", F.lit(0)).withColumn("lang", F.when(held, "zz").otherwise(F.col("lang"))).withColumn("text", F.when(held, "zzz").otherwise(F.col("text")))
+    one, other = langid.fit_languages(docs), langid.fit_languages(changed)
+    assert one.languages == other.languages and "zz" not in one.languages
+    assert (one.table == other.table).all() and (one.bias == other.bias).all() and one.threshold == other.threshold
+    before = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    relabelled = docs.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit(None).cast("string"))
+    assert before == {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(relabelled).collect()}
+
+
+def test_the_sample_is_bounded_in_bytes(spark, data):
+    docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    model = langid.fit_languages(docs, sample_bytes=1_500_000)
+    rows = docs.where(langid.folds()).where("text is not null").collect()
+    found, _, rejected = model.predict([r.text for r in rows])
+    assert model.languages == langid.fit_languages(docs).languages
+    assert np.mean([a == r.lang for a, r in zip(found, rows, strict=True)]) > 0.9
+
+
 @pytest.mark.parametrize("languages", [["en", "fr", "de", "es"], ["en", "fr"], ["de"]])
 def test_strange_texts_are_rejected_and_clean_ones_stay(spark, data, languages):
     docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet").where(F.col("lang").isin(languages))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -15,11 +17,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import chat, metric_join, queries, top_k, warc
+from basalt.llm import chat, langid, metric_join, queries, top_k, warc
 from basalt.llm._common import written
 from tests.compare import rows_from, rows_of
 
-from .test_documents import brute_components, brute_cuts, check_packing
+from .test_documents import best_fit_decreasing, brute_components, brute_cuts, brute_kept, check_packing
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -310,6 +312,37 @@ def test_components_of_long_chains(spark):
     assert {r.u: r.root for r in rows} == {k: 0 for k in range(1, 301)} | {1000 + k: 1000 for k in range(1, 400)}
 
 
+def folders(spark):
+    from basalt.llm._common import shared_dir
+
+    return set(os.listdir(shared_dir(spark).removeprefix("file://"))) if shared_dir(spark) else set()
+
+
+def test_tables_written_on_the_way_are_deleted(spark, data):
+    from basalt.llm._common import cleared
+
+    before = folders(spark)
+    with cleared(spark):
+        assert metric_join.near_duplicates(spark.read.parquet(f"{data}/embeddings.parquet")).count() == 500
+        assert folders(spark) > before
+    assert folders(spark) == before
+    with cleared(spark, kept := []):
+        kept.append(written(spark.range(5), "five"))
+        written(spark.range(6), "six")
+    assert len(folders(spark) - before) == 1 and kept[0].count() == 5
+    corpus_pipeline.run(spark, data).count()
+    assert {x.split("-")[0] for x in folders(spark) - before} == {"five", "repeated_passages", "pieces", "lengths"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from basalt.llm._common import shared_dir
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_pipeline_stages(spark, documents, texts, union):
     docs = documents.where("doc_id is not null")
     given = [(d, t) for d, t in texts if d is not None]
@@ -318,16 +351,61 @@ def test_pipeline_stages(spark, documents, texts, union):
     assert {r.doc_id for r in first.collect()} == {c for _, _, c in brute_components(given, union)}
     second = corpus_pipeline.repeated_passages(spark, docs, "")
     assert second.columns == docs.columns
-    gone = {(d, n): r for d, n, r, _, _ in brute_cuts(given)}
+    gone, kept = {(d, n): r for d, n, r, _, _ in brute_cuts(given)}, defaultdict(set)
+    for d, raw in brute_kept(given):
+        kept[d].add(raw.decode("utf-8", "ignore").encode())
     for r in second.collect():
         raw = next(t for d, t in given if d == r.doc_id)
         removed = gone[r.doc_id, len((raw or "").encode())]
-        assert r.text == raw if not removed else len(r.text.encode()) <= len(raw.encode()) - removed and r.n_chars == len(r.text)
+        if not removed:
+            assert r.text == raw
+        else:
+            assert r.text.encode() in kept[r.doc_id] and r.n_chars == len(r.text)
     kept = corpus_pipeline.language_id(spark, docs, "")
     assert kept.columns == docs.columns
     assert not {r.doc_id for r in kept.collect()} & {d for d, t in given if not any(c.isalpha() for c in t or "")}
 
 
+def brute_pipeline(docs, model, encode, union):
+    """What is left to pack after each stage, as doc_id -> text, by the definitions."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    _, _, rejected = model.predict([t or "" for _, t in rows])
+    rows = [x for x, gone in zip(rows, rejected, strict=True) if not gone]
+    least = {c for _, _, c in brute_components(rows, union)}
+    rows = [(d, t) for d, t in rows if d in least]
+    first: dict[bytes, int] = {}
+    for d, t in sorted(rows):
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            first.setdefault(raw[i : i + 50], d)
+    out = {}
+    for d, t in rows:
+        raw, gone = t.encode(), bytearray(len(t.encode()))
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out[d] = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return {d: [*encode(t), 2] for d, t in out.items()}
+
+
+def test_pipeline_against_brute_force(spark, data, union):
+    from basalt.llm.tokenizing import load
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    library = load(queries.tokenizer("byte_bpe_50k.json"))
+    want = brute_pipeline(docs, langid.fit_languages(docs), lambda t: library.encode(t, add_special_tokens=False).ids, union)
+    rows = corpus_pipeline.run(spark, data).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert set(found) == set(want) and len(want) < docs.count()
+    for d, ids in want.items():
+        head = len(ids) % 1024 or 1024
+        bounds = [0, *range(head, len(ids), 1024), len(ids)]
+        assert sorted(found[d]) == [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    assert check_packing(rows, 1024) <= best_fit_decreasing([r.length for r in rows], 1024)
+
+
 def test_pipeline(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
     assert rows and check_packing(rows, 1024)
