@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import partitions, written
 from .vectors import centres_of, distances, sound_blocks
 
-STEP = 8  # dimensions
+STEP = 16  # dimensions
 BLOCK = 2048  # candidates
 GROUP = 64  # queries
 _EXACT = {np.float32: 2.0**24, np.float64: 2.0**53}  # below these sums of integers are exact
@@ -220,29 +220,37 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
 
         return run
 
-    def chunks(some: DataFrame, n: int, name: str, most: int, seek: bool) -> list[str]:
-        """Write rows in n files of similar rows; their names come back, one entry a file."""
+    def chunks(some: DataFrame, n: int, each: int, name: str, most: int, seek: bool) -> list[list[str]]:
+        """Write n rows in files of similar rows; the names of chunks of some `each` rows come back, one entry a file."""
         placed = some.mapInArrow(place, "dim long, wide boolean, cell long, id long, data binary")
-        dealt = placed.repartitionByRange(n, "dim", "wide", "cell", "id").sortWithinPartitions("dim", "wide", "cell", "id")
+        dealt = placed.repartitionByRange(max(1, -(-n // each)), "dim", "wide", "cell", "id").sortWithinPartitions("dim", "wide", "cell", "id")
         table = written(dealt.mapInArrow(pack(most, seek), "dim long, wide boolean, kind string, ids binary, data binary, floors binary"), name)
-        return sorted(r[0] for r in table.select(F.input_file_name()).distinct().collect())
-
-    few = 2 * partitions(spark)
-    given = chunks(rows, max(1, -(-size.n // chunk), min(few, -(-size.n // BLOCK))), "candidates", BLOCK, False)
-    asked = chunks(rows.where(F.col("id") % every == 0), max(1, -(-size.q // query_block)), "queries", GROUP, True)
-
-    def load(file: str) -> pa.Table:
-        fs, path = pafs.FileSystem.from_uri(file)
-        with fs.open_input_file(path) as f:
-            return pq.read_table(f)
+        files = sorted(table.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("ids") / 8)).collect())
+        out, held = [], each
+        for file, size in files:
+            if held + size > each:
+                out.append([])
+                held = 0
+            out[-1].append(file)
+            held += size
+        return out
+
+    given = chunks(rows, size.n, min(chunk, max(BLOCK, -(-size.n // (2 * partitions(spark))))), "candidates", BLOCK, False)
+    asked = chunks(rows.where(F.col("id") % every == 0), size.q, query_block, "queries", GROUP, True)
+
+    def load(files: list[str]) -> Iterator[dict]:
+        for file in files:
+            fs, path = pafs.FileSystem.from_uri(file)
+            with fs.open_input_file(path) as f:
+                yield from blocks_of(pq.read_table(f))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, blocks = None, []
         for batch in batches:
             for pair in batch.column("pair").to_pylist():
                 if have != (have := pair // len(asked)):
-                    blocks = [(r["dim"], Rows(r["ids"], r["matrix"], r["wide"])) for r in blocks_of(load(given[have]))]
-                for r in blocks_of(load(asked[pair % len(asked)])):
+                    blocks = [(r["dim"], Rows(r["ids"], r["matrix"], r["wide"])) for r in load(given[have])]
+                for r in load(asked[pair % len(asked)]):
                     group = Search(r["ids"], r["matrix"], k, r["floors"], r["wide"], scale)
                     near = sorted(((-group.most(b), n) for n, (dim, b) in enumerate(blocks) if dim == r["dim"]))
                     for _, n in near:
