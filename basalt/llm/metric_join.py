@@ -30,7 +30,7 @@ from .vectors import centres_of, distances, sound_blocks, unite, units
 
 _LOOSE = 1e-6  # how far distances may be off
 _BINS = 512  # of a histogram of distances from 0 to 2
-_MEASURED = 32  # pivots at most to which a cell's distances are measured
+_MEASURED = 16  # pivots at most to which a cell's distances are measured
 
 
 class Parts:
@@ -89,17 +89,17 @@ class Parts:
             part[mine] = first[ring] + ids[mine] % split[ring]
         return part
 
-    def may(self, d: np.ndarray, cell: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """For each row and cell whether the triangle inequality lets the row have a partner there."""
-        out = d <= near[:, None] + 2 * self.reach
-        for j in range(self.low.shape[1]):
-            out &= (d[:, j, None] >= self.low[:, j] - self.reach) & (d[:, j, None] <= self.high[:, j] + self.reach)
-        out[np.arange(len(d)), cell] = True
-        return out
+    def may(self, d: np.ndarray, cell: np.ndarray, near: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """For each row and each of some cells whether the triangle inequality lets the row have a partner there."""
+        out = d[:, cells] <= near[:, None] + 2 * self.reach
+        low, high = self.low[cells] - self.reach, self.high[cells] + self.reach
+        for j in range(low.shape[1]):
+            out &= (d[:, j, None] >= low[:, j]) & (d[:, j, None] <= high[:, j])
+        return out | (cells == cell[:, None])
 
     def visits(self, d: np.ndarray, cell: np.ndarray, near: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each part the rows of earlier parts that may have a partner there."""
-        may = self.may(d, cell, near)
+        may = self.may(d, cell, near, np.arange(len(self.low)))
         small = [c for c in self.chain if self.bundle[c] >= 0]
         if small:
             number = self.bundle[small]
@@ -259,7 +259,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int |
         def near_pairs(state, cell, r, unit, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs (of the given rows, of the part's) that single precision finds near enough."""
             plan = plans[now[0]]
-            may = plan.may(plan.distances(unit), cell, r)[:, state["cells"]]
+            may = plan.may(plan.distances(unit), cell, r, state["cells"])
             few, ends = unit.astype(np.float32), state["ends"]
             least_ = least - (1e-4 + 4e-7 * unit.shape[1])
             if at is not None:
