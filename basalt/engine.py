@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,5 +43,20 @@ class Engine:
         """A query; `:name` or `?` stand for args, `{name}` for a DataFrame."""
         return self.spark.sql(sql, args=args, **frames)
 
+    def register(self, name: str, function: Callable, returns: str, aggregate: bool = False) -> None:
+        """A function of pandas columns, for use in SQL; an aggregate one takes a group's columns and gives one value."""
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        def over_columns(*x: pd.Series) -> pd.Series:
+            return function(*x)
+
+        def over_group(*x: pd.Series) -> Any:
+            return function(*x)
+
+        over_columns.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        over_group.__annotations__ = {"x": pd.Series, "return": object}
+        self.spark.udf.register(name, pandas_udf(over_group if aggregate else over_columns, returns))
+
     def explain(self, sql: str) -> str:
         return self.spark.sql(sql)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

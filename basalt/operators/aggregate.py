@@ -18,7 +18,9 @@ def distinct_keys(df: DataFrame, *by: str) -> DataFrame:
 
 
 def count_distinct_by(df: DataFrame, by: Sequence[str], what: Sequence[str], name: str) -> DataFrame:
-    """Distinct tuples in each group: tuples are told apart first, so a large group isn't gathered in one task."""
-    rows = df.where(F.col(what[0]).isNotNull()) if len(what) == 1 else df
-    counted = rows.select(*by, F.struct(*what).alias("__t")).distinct().groupBy(*by).agg(F.count("*").alias(name))
-    return df.select(*by).distinct().join(counted, list(by), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    """Distinct tuples in each group: tuples are told apart first, so a large group isn't gathered in one task.
+
+    Null keys are a group.  Of several columns the tuples count, those with nulls included; of one, nulls don't.
+    """
+    tuples = df.select(*by, *[F.col(c).alias(f"__{k}") for k, c in enumerate(what)]).distinct()
+    return tuples.groupBy(*by).agg(F.count("__0" if len(what) == 1 else "*").alias(name))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
@@ -36,10 +37,31 @@ def equi(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how
     return join(left, right, on if also is None else on & also, how)
 
 
-def mark(left: DataFrame, right: DataFrame, key: str, other: str, name: str = "mark") -> DataFrame:
-    """left with a column that tells whether right has the key; a null key has none."""
-    found = right.select(F.col(other).alias("__key")).where("__key is not null").distinct().withColumn("__hit", F.lit(True))
-    return left.join(found, left[key] == found["__key"], "left").drop("__key").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__hit")
+def mark(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], also: str | None = None, name: str = "mark") -> DataFrame:
+    """left with a column that says whether (keys of left) IN (keys of right), right's rows being those that meet `also`.
+
+    SQL's three values: true for a match; null without one if a row of right differs only where a key is null; else
+    false.  `also` is a condition in SQL on columns of l and r.
+    """
+    part = [f"({also})"] if also else []
+
+    def exists(open_: Sequence[int]) -> str:
+        """A row of right with equal keys but for the open ones, in each of which a side is null."""
+        terms = [f"(l.`{a}` IS NULL OR r.`{b}` IS NULL)" if k in open_ else f"l.`{a}` = r.`{b}`" for k, (a, b) in enumerate(keys)]
+        return f"EXISTS (SELECT 1 FROM {{right}} r WHERE {' AND '.join(terms + part)})"
+
+    every = range(len(keys))
+    some = [c for n in every if n for c in combinations(every, n)]
+    unknown = [exists(c) for c in some]
+    if also:
+        unknown.append(exists(every))
+    else:  # no key is compared: it is enough to know in which keys right has nulls together
+        for c in [(), *some, tuple(every)]:
+            nulls = " AND ".join(f"r.`{keys[k][1]}` IS NULL" for k in c) or "TRUE"
+            rest = " AND ".join(f"l.`{keys[k][0]}` IS NULL" for k in every if k not in c) or "TRUE"
+            unknown.append(f"({rest}) AND (SELECT count_if({nulls}) > 0 FROM {{right}} r)")
+    text = f"SELECT l.*, CASE WHEN {exists(())} THEN TRUE WHEN {' OR '.join(f'({u})' for u in unknown)} THEN CAST(NULL AS BOOLEAN) ELSE FALSE END AS `{name}` FROM {{left}} l"
+    return left.sparkSession.sql(text, left=left, right=right)
 
 
 def not_in(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
@@ -49,21 +71,37 @@ def not_in(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame
     return rest.join(F.broadcast(nulls), (F.col("__n") == 0) | ((F.col("__nulls") == 0) & F.col(key).isNotNull()), "left_semi")
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equal keys where a few keys of left hold many rows: each is dealt to `salts` tasks, right's rows go to all of them."""
+def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner", share: int = 64) -> DataFrame:
+    """Equal keys where a few keys of left hold many rows: those over one in `share` of all rows are dealt to `salts` tasks each.
+
+    Right's rows of these keys alone go to all of them.  There are fewer than `share` such keys, so they can be broadcast.
+    """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError("the salted side must be the one that is kept")
-    a = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).withColumnRenamed(key, "__key")
+    total = left.count()
+    hot = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") * share > total).select("__hot")
+    marked = lambda df: df.join(F.broadcast(hot), df[key] == F.col("__hot"), "left")
+    a = marked(left).withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)).drop("__hot")
+    b = marked(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNotNull(), salts - 1).otherwise(0)).cast("array<bigint>"))).drop("__hot").withColumnRenamed(key, "__key")
     return a.join(b, (a[key] == b["__key"]) & (a["__salt"] == b["__salt"]), KINDS[how]).drop("__salt", "__key")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
-    """Each left row with the right side's latest value at or before its time: one shuffle, one sort."""
-    from pyspark.sql import Window
-
-    a = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__value"))
-    b = right.select(by, time, F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    w = Window.partitionBy(by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__value")
+def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str, era: Callable[[Column], Column] = F.to_date) -> DataFrame:
+    """Each left row with the right side's latest value at or before its time, of several at one time the largest; null where there is none.
+
+    A key's history is sorted in pieces, by `era` (a function of the time that never falls as the time rises): a key of which a third of all rows
+    are is spread over as many tasks as it has eras.  What an era begins with is carried over from a small table of last values.
+    """
+    if value in left.columns:
+        raise ValueError(f"left has a column {value} of its own")
+    own = [F.col(f"`{c}`") for c in left.columns]
+    a = left.select(F.struct(*own).alias("__row"), F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(1).alias("__side"))
+    b = right.select(F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(0).alias("__side"), F.struct(F.col(value).alias("v")).alias("__value")).where("__by is not null and __time is not null")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__era", era(F.col("__time")))
+    latest = F.last("__value", ignorenulls=True).over(Window.partitionBy("__by", "__era").orderBy("__time", "__side", "__value").rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.groupBy("__by", "__era").agg(F.max(F.when(F.col("__side") == 0, F.struct("__time", "__value"))).alias("__end"))
+    before = Window.partitionBy("__by").orderBy("__era").rowsBetween(Window.unboundedPreceding, -1)  # a row an era
+    carried = ends.select(F.col("__by").alias("__k"), F.col("__era").alias("__e"), F.last("__end.__value", ignorenulls=True).over(before).alias("__carried"))
+    found = both.withColumn("__latest", latest).where("__side = 1")
+    joined = found.join(carried, (F.col("__by") == F.col("__k")) & (F.col("__era") == F.col("__e")), "left")
+    return joined.select("__row.*", F.coalesce("__latest", "__carried").getField("v").alias(value))

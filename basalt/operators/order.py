@@ -26,3 +26,9 @@ def top_n(df: DataFrame, n: int, *order: str, offset: int = 0) -> DataFrame:
 def limit(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Any n rows after any `offset` rows."""
     return (df.offset(offset) if offset else df).limit(n)
+
+
+def limit_percent(df: DataFrame, percent: float, *order: str) -> DataFrame:
+    """The first so many rows in a hundred, rounded down, of a total order."""
+    n = int(df.count() * percent // 100)
+    return top_n(df, n, *order)

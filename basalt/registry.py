@@ -30,12 +30,12 @@ def op(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def frames(name: str, oracle: str | None = None):
-    """Register a function of the DataFrames that its parameters name."""
+    """Register a function of the DataFrames that its parameters without a default name."""
 
     def add(f):
         import inspect
 
-        wanted = [p for p in inspect.signature(f).parameters if p != "spark"]
+        wanted = [n for n, p in inspect.signature(f).parameters.items() if n != "spark" and p.default is p.empty]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             given = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in wanted}
