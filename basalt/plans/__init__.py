@@ -1,5 +1,5 @@
 """Queries by operator and by workload; importing a module registers its queries."""
 
-from . import clickbench, operators, tpch
+from . import clickbench, operators, shapes, tpch
 
-__all__ = ["clickbench", "operators", "tpch"]
+__all__ = ["clickbench", "operators", "shapes", "tpch"]

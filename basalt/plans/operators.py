@@ -198,7 +198,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frames("join_mark_in_or", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def _(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return join.mark(customer, orders.where("o_totalprice > 450000"), "c_custkey", "o_custkey").where((F.col("c_acctbal") < 0) | F.col("mark")).select("c_custkey")
+    return join.mark(customer, orders.where("o_totalprice > 450000"), [("c_custkey", "o_custkey")]).where((F.col("c_acctbal") < 0) | F.col("mark")).select("c_custkey")
 
 
 @frames("join_broadcast", "SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
