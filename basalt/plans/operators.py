@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import aggregate as A
 from ..functions import scalar as X
-from ..operators import aggregate, join, order, scan
+from ..operators import aggregate, join, order, scan, window
 from ..registry import frames, op, sql
 from ..sources import files
 from ..streaming import windows
@@ -414,7 +414,11 @@ sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_n
 sql("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")
 sql("distinct_rows", "SELECT DISTINCT event_type, user_id % 5 AS g FROM events")
 sql("window_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)")
-sql("window_running_sum", "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+@frames("window_running_sum", "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+def _(orders: DataFrame) -> DataFrame:
+    return window.running_sum(orders.select("o_orderpriority", "o_orderkey", "o_custkey"), ["o_orderpriority"], ["o_orderkey"], "o_custkey", "s").select("o_orderkey", "s")
+
+
 sql("window_lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events")
 sql("window_frame", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM events")
 

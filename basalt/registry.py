@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import TABLES, load_tables
+from .catalog import TABLES, load_tables, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def frames(name: str, oracle: str | None = None):
         wanted = [n for n, p in inspect.signature(f).parameters.items() if n != "spark" and p.default is p.empty]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            given = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in wanted}
+            given = {n: table(spark, sf_dir, n) for n in wanted}
             return f(spark, **given) if "spark" in inspect.signature(f).parameters else f(**given)
 
         op(name, oracle)(run)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from basalt import Engine, session
 from basalt.functions import aggregate as A
 from basalt.functions import scalar as X
-from basalt.operators import aggregate, join, order, scan
+from basalt.operators import aggregate, join, order, scan, window
 from basalt.sources import files
 from basalt.streaming import windows
 
@@ -175,6 +175,29 @@ def test_times_know_no_zone(spark):
     assert found == want and found.us == 5_600_000 and found.hour == datetime.datetime(2024, 3, 31, 2)
 
 
+def test_running_sums_are_carried_over_ranges(spark):
+    rows = [(None if k % 7 == 0 else k % 3, k, None if k % 11 == 0 else k * 3 - 500) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g int, k int, v int").repartition(5)
+    found = window.running_sum(df, ["g"], ["k"], "v", "s")
+    sums: dict = {}
+    want = set()
+    for g, k, v in rows:
+        sums[g] = sums.get(g) if v is None else (sums.get(g) or 0) + v
+        want.add((g, k, v, sums[g]))
+    assert {tuple(r) for r in found.collect()} == want
+    assert window.running_sum(df.where("false"), ["g"], ["k"], "v").count() == 0
+
+
+def test_schemas_follow_what_is_written(spark, tmp_path):
+    from basalt.catalog import read
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    assert read(spark, path).columns == ["id"] == read(spark, path).columns
+    spark.range(3).selectExpr("id", "id AS k").write.parquet(path, mode="overwrite")
+    assert read(spark, path).columns == ["id", "k"]
+
+
 def test_only_small_sides_are_broadcast(spark, data):
     nation = spark.read.parquet(f"{data}/nation.parquet")
     assert "broadcast" in join.small(nation)._jdf.queryExecution().logical().toString().lower()
