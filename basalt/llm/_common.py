@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
@@ -123,13 +123,19 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size; of a written table that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def connected_components(edges: DataFrame, small: int = 2 << 20) -> DataFrame:
     """Nodes of `edges` (u, v of one ordered type) with the smallest node that can be reached: columns u, root.
 
     Each round gives every node its smallest smaller neighbour as a parent, joins its other smaller neighbours to that parent
     and then skips a generation.  Every round brings some node nearer to its root, so it ends whatever the graph is; edges stay as many at
-    most.  Parents come from partly aggregated minima and are written, so both sides of a join on a parent that a third of all nodes
-    may have come from a shuffle, and adaptive execution can split it.  Tables of earlier rounds are deleted.  Null nodes and loops are left out.
+    most.  Parents come from partly aggregated minima.  Those of at most `small` bytes of written edges are broadcast.  Others are written first, so
+    both sides of a join on a parent that a third of all nodes may have come from a shuffle, and adaptive execution can split
+    it.  Tables of earlier rounds are deleted.  Null nodes and loops are left out.
     """
     spark = edges.sparkSession
     with cleared(spark, kept := []):
@@ -137,13 +143,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         more = True
         while more:
             with cleared(spark, now := []):
-                parent = written(edges.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n")), "parents")
-                up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+                parent = edges.groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n"))
+                fits = estimated_bytes(edges) <= small
+                parent, other = (parent, F.broadcast) if fits else (written(parent, "parents"), lambda df: df)
+                up = other(parent.select(F.col("u").alias("p"), F.col("p").alias("pp")))
                 grand = parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.lit(0).alias("more"), (F.col("pp").isNotNull() | (F.col("n") > 1)).alias("moved"))
-                rest = edges.join(parent.where("n > 1").select("u", "p"), "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(1).alias("more"), F.lit(True).alias("moved"))
-                after = written(grand.unionByName(rest).groupBy("u", "v").agg(F.min("more").alias("more"), F.max("moved").alias("moved")), "edges")
-                more = after.where("moved").limit(1).count() > 0
-                edges = after.select("u", "v")
+                rest = edges.join(other(parent.where("n > 1").select("u", "p")), "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(1).alias("more"), F.lit(True).alias("moved"))
+                moved = Observation()
+                after = written(grand.unionByName(rest).groupBy("u", "v").agg(F.min("more").alias("more"), F.max("moved").alias("moved")).observe(moved, F.max("moved").alias("any")), "edges")
+                more = bool(moved.get["any"])
+                before, edges = edges, after.select("u", "v")
                 now.append(after)
+            discard(before)
         kept.append(after)
         return edges.select("u", F.col("v").alias("root"))

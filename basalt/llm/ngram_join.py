@@ -7,9 +7,8 @@ hashes of their own, so what two documents of little likeness share by chance un
 
 1. Every distinct set sends its tokens once; those in two documents come back (shared_tokens).  Sets with the same shared
    tokens and the same size are one node, as they share just those: pages of one template cost one node.
-2. Nodes that hold a token in their prefix are tied to the smallest node that does.  What ties hang together are
-   pieces, and contain every link.  Large pieces are tied again by the prefixes under each further order, so only what all
-   orders leave together is compared.
+2. Under each order, nodes that hold a token in their prefix are tied to the smallest node that does.  Linked nodes hang together by
+   ties under every order, so the orders' components are intersected: nodes that all orders leave together are a piece.
 3. Large pieces are dealt to slices, each with the same few leaders; what is linked there forms groups.  Nodes outside of a
    piece's largest group then meet all others, in pairs of slices: a group of any size that a leader holds together costs its own size.
 4. Where a few nodes meet, candidate pairs must share a prefix token under every order; those are verified by their
@@ -187,54 +186,57 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
     return members.select("doc_id", "n", "sig", "ref", F.substring("blob", 1, 8).alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
 
 
-def _pieces_of(nodes: DataFrame, percent: int, which: int) -> DataFrame:
-    """ref, root: which nodes (of one `piece`) hang together by prefix tokens of an order; nodes without a tie are left out."""
+def _pieces_of(found: DataFrame, percent: int) -> DataFrame:
+    """ref, piece, size: which nodes hang together by prefix tokens under every order; those that hang together with none are left out.
+
+    A node stands once for each order (4 * ref + order), and all orders' ties are followed at once.
+    """
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the nodes read so far the smallest of each token, and each node's tie to the smallest of its tokens."""
-        held: list[tuple[int, int, np.ndarray]] = []
+        """Of the nodes read so far the smallest of each order's token, and each node's tie to the smallest of its tokens."""
+        held: list[tuple[int, np.ndarray]] = []
 
         def out():
-            size = [len(t) for _, _, t in held]
-            tokens = np.concatenate([t for _, _, t in held])
-            piece, refs = (np.repeat([r[k] for r in held], size) for k in (0, 1))
-            order = np.lexsort((refs, tokens, piece))
-            tokens, refs, piece = tokens[order], refs[order], piece[order]
-            starts = np.union1d(S.runs(tokens), S.runs(piece))
+            tokens = np.concatenate([t for _, t in held])
+            refs = np.repeat([r for r, _ in held], [len(t) for _, t in held])
+            order = np.lexsort((refs, tokens, refs & 3))
+            tokens, refs = tokens[order], refs[order]
+            starts = np.union1d(S.runs(tokens), S.runs(refs & 3))
             least = np.repeat(refs[starts], np.diff(np.append(starts, len(tokens))))
             ties = np.unique(np.stack([refs, least])[:, refs != least], axis=1)
             n, none = len(starts), np.zeros(ties.shape[1], np.int64)
-            columns = [np.concatenate(x) for x in ((piece[starts], none), (tokens[starts].view(np.int64), none), (np.full(n, -1), ties[0]), (refs[starts], ties[1]))]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["piece", "token", "u", "v"])
+            columns = [np.concatenate(x) for x in ((tokens[starts].view(np.int64), none), (np.full(n, -1), ties[0]), (refs[starts], ties[1]))]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["token", "u", "v"])
 
         size = 0
         for batch in batches:
-            for piece, *node in zip(*(batch.column(c).to_pylist() for c in ("piece", "ref", "tokens", "common", "n", "cuts")), strict=True):
-                held.append((piece, node[0], Node(*node[1:]).prefix(percent, which)))
-                size += len(held[-1][2])
+            for ref, *node in zip(*(batch.column(c).to_pylist() for c in ("ref", "tokens", "common", "n", "cuts")), strict=True):
+                own = Node(*node)
+                for which in range(ORDERS):
+                    held.append((4 * ref + which, own.prefix(percent, which)))
+                    size += len(held[-1][1])
                 if size > S.FLUSH:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    ties = written(nodes.select("piece", *_COLUMNS).mapInArrow(tie, "piece long, token long, u long, v long"), "ties")
-    heads = ties.where("u < 0").select("piece", "token", "v")
-    least = written(heads.groupBy("piece", "token").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").select("piece", "token", "least"), "heads")
-    across = heads.join(least, ["piece", "token"]).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))  # a row a task and token at most
-    return connected_components(ties.where("u >= 0").select("u", "v").unionByName(across)).select(F.col("u").alias("ref"), "root")
-
-
-def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """nodes with their piece, without those that hang together with none."""
-    whole = written(roots.unionByName(roots.select(F.col("root").alias("ref"), "root").distinct()), "roots")
-    return nodes.drop("piece").join(whole, "ref").withColumnRenamed("root", "piece")
+    ties = written(found.select(*_COLUMNS).mapInArrow(tie, "token long, u long, v long"), "ties")
+    heads = ties.where("u < 0").select("token", "v", F.expr("v & 3").alias("which"))  # a row a task, order and token at most
+    least = written(heads.groupBy("which", "token").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").select("which", "token", "least"), "heads")
+    across = heads.join(least, ["which", "token"]).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    roots = connected_components(ties.where("u >= 0").select("u", "v").unionByName(across))
+    roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+    at = lambda k: F.max(F.when(F.expr("u & 3") == k, F.col("root"))).alias(f"r{k}")
+    keys = [f"r{k}" for k in range(ORDERS)]
+    every = written(roots.groupBy(F.shiftright("u", 2).alias("ref")).agg(*[at(k) for k in range(ORDERS)]).dropna(), "roots")
+    named = written(every.groupBy(*keys).agg(F.min("ref").alias("piece"), F.count("*").alias("size")).where("size > 1"), "pieces")
+    return every.join(named, keys).select("ref", "piece", "size")
 
 
 def _links(found: DataFrame, percent: int, work: Accumulator | None) -> DataFrame:
     """u, v: a spanning forest of the links among nodes."""
     spark = found.sparkSession
-    nodes = written(_rooted(found, _pieces_of(found.withColumn("piece", F.lit(0).cast("long")), percent, 0)), "nodes")
 
     def verify(table: pa.Table) -> pa.Table:
         """Links in each piece of a cell, between nodes of different groups and sides."""
@@ -257,37 +259,20 @@ def _links(found: DataFrame, percent: int, work: Accumulator | None) -> DataFram
     def meet(some: DataFrame, *by: str) -> DataFrame:
         return some.select("piece", "own", "side", *_COLUMNS, *[c for c in by if c != "piece"]).groupBy(*by).applyInArrow(verify, "u long, v long")
 
-    def sized(some: DataFrame) -> DataFrame:
-        """Nodes with the size of their piece; sizes are written, so that a piece of many nodes can be split."""
-        return some.join(written(some.groupBy("piece").agg(F.count("*").alias("size")), "sizes"), "piece")
+    nodes = written(found.join(_pieces_of(found, percent), "ref"), "nodes")
+    total = nodes.agg(F.sum(F.octet_length("tokens")).alias("bytes"), F.max("size").alias("size")).first()
+    cells = max(8 * partitions(spark), -(-(total.bytes or 0) // (8 << 20)))
+    small = nodes.where(F.col("size") <= SLICE).withColumn("own", F.col("ref")).withColumn("side", F.lit(-1))
+    links = meet(small.withColumn("cell", F.pmod(F.xxhash64("piece"), F.lit(cells))), "cell")
+    if (total.size or 0) > SLICE:
+        for more in _large_links(nodes.where(F.col("size") > SLICE), meet):
+            links = links.unionByName(more)
+    return written(links, "links")
 
-    nodes = sized(nodes)
-    large = nodes.where(F.col("size") > SLICE).drop("size")
-    small = [nodes.where(F.col("size") <= SLICE).drop("size")]
-    found_links = []
-    for which in range(1, ORDERS):  # what all orders leave together
-        if not large.limit(1).count():
-            break
-        again = sized(written(_rooted(large, _pieces_of(large, percent, which)), "nodes"))
-        large = again.where(F.col("size") > SLICE).drop("size")
-        small.append(again.where(F.col("size") <= SLICE).drop("size"))
-    if large.limit(1).count():
-        found_links = _large_links(written(large, "large"), sized, meet)
-    together = small[0]
-    for s in small[1:]:
-        together = together.unionByName(s)
-    together = written(together, "small")
-    bytes_ = together.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    cells = max(8 * partitions(spark), -(-bytes_ // (8 << 20)))
-    out = meet(together.withColumn("own", F.col("ref")).withColumn("side", F.lit(-1)).withColumn("cell", F.pmod(F.xxhash64("piece"), F.lit(cells))), "cell")
-    for links in found_links:
-        out = out.unionByName(links)
-    return written(out, "links")
-
-
-def _large_links(large: DataFrame, sized, meet) -> list[DataFrame]:
+
+def _large_links(large: DataFrame, meet) -> list[DataFrame]:
     """Links of large pieces: first those of slices that each hold the piece's leaders, then those of what isn't in its largest group."""
-    cut = written(sized(large).withColumn("slices", F.ceil(F.col("size") / SLICE).cast("long")).withColumn("slice", F.pmod(F.xxhash64("ref"), F.col("slices"))), "slices")
+    cut = written(large.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("long")).withColumn("slice", F.pmod(F.xxhash64("ref"), F.col("slices"))), "slices")
     drawn = cut.select("piece", "ref", F.row_number().over(Window.partitionBy("piece").orderBy(F.xxhash64(F.lit(1), "ref"), "ref")).alias("k"))  # a task keeps only its first
     leaders = written(cut.join(written(drawn.where(F.col("k") <= LEADERS).select("ref"), "drawn"), "ref"), "leaders")
     copies = leaders.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
@@ -320,8 +305,13 @@ def _components(documents: DataFrame, width: int, percent: int, work: Accumulato
     placed = in_nodes.join(roots, in_nodes["head"] == roots["u"], "left").select("ref", F.coalesce("root", F.when(F.col("alike"), F.col("head")), "ref").alias("root"))
     sets = written(members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")), "sets")
     named = written(sets.join(placed, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root")), "named")
+    return members, written(_with_component(named), "components")
+
+
+def _with_component(named: DataFrame) -> DataFrame:
+    """sig, root, component of written rows (sig, root, least): both sides of the join are read and dealt, so a root of most rows can be split."""
     smallest = written(named.groupBy("root").agg(F.min("least").alias("component")), "smallest")
-    return members, written(named.join(smallest, "root").select("sig", "root", "component"), "components")
+    return named.join(smallest, "root").select("sig", "root", "component")
 
 
 def link_documents(documents: DataFrame, width: int = 5, percent: int = 75, work: Accumulator | None = None) -> DataFrame:

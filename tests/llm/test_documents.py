@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basalt.llm import bpe, langid, ngram_join, packing, suffix_dedup, token_files
+from basalt.llm._common import written
 from basalt.llm.queries import tokenizer
 from basalt.llm.tokenizing import encoder, load
 
@@ -138,6 +139,22 @@ def test_verified_pairs_of_near_copies_grow_with_the_copies(spark, words, monkey
     assert counts[1] < 3 * counts[0] and counts[1] < 0.2 * 1200**2 / 2
 
 
+def test_a_root_of_most_rows_is_split(spark):
+    settings_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings_}
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        root = F.when(F.col("id") % 4 != 0, 7).otherwise(F.col("id"))
+        named = written(spark.range(0, 200_000, 1, 8).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("sig"), root.cast("long").alias("root"), F.col("id").alias("least")), "named")
+        found = ngram_join._with_component(named)
+        assert len(found.collect()) == 200_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def brute_gone(texts, length=50):
     """Each document's bytes, and which of them go."""
     first: dict[bytes, int] = {}

@@ -304,11 +304,12 @@ def test_reversed_host(url, key):
     assert warc.reversed_host_key(url) == key
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("small", [2 << 20, 0])
+def test_components_of_long_chains(spark, small):
     from basalt.llm._common import connected_components
 
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(5, 5), (None, 4)]
-    rows = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    rows = connected_components(spark.createDataFrame(edges, "u long, v long"), small).collect()
     assert {r.u: r.root for r in rows} == {k: 0 for k in range(1, 301)} | {1000 + k: 1000 for k in range(1, 400)}
 
 
