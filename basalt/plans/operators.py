@@ -69,9 +69,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute("SELECT n_regionkey, count(*) AS n FROM {inner} GROUP BY n_regionkey", inner=inner)
 
 
-sql("values_scan", "SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b)")
-sql("empty_result", "SELECT n_name FROM nation WHERE 1 = 0")
-sql("dummy_scan", "SELECT CAST(42 AS BIGINT) AS answer, 'x' AS s")
+
+
+@op("values_scan", "SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.values(spark, [(1, "x"), (2, None), (None, "z")], "a long, b string")
+
+
+@frames("empty_result", "SELECT n_name FROM nation WHERE 1 = 0")
+def _(nation: DataFrame) -> DataFrame:
+    return scan.empty(nation.select("n_name"))
+
+
+@op("dummy_scan", "SELECT CAST(42 AS BIGINT) AS answer, 'x' AS s")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.one_row(spark).select(F.lit(42).cast("bigint").alias("answer"), F.lit("x").alias("s"))
+
+
 
 # --- projections and filters ----------------------------------------------------------------------
 
@@ -84,7 +98,14 @@ _ARITHMETIC = {
 }
 for _name, _x in _ARITHMETIC.items():
     sql(f"proj_{_name}", f"SELECT l_orderkey, l_linenumber, {_x} AS v FROM lineitem")
-sql("proj_intdiv", "SELECT l_orderkey, CAST((l_orderkey - 500) div l_linenumber AS BIGINT) AS v FROM lineitem", "SELECT l_orderkey, CAST((l_orderkey - 500) // l_linenumber AS BIGINT) AS v FROM lineitem")
+
+
+@frames("proj_intdiv", "SELECT l_orderkey, TRY(CAST((l_orderkey - 500) // (l_linenumber - 2) AS BIGINT)) AS v, TRY((l_orderkey - 500) % (l_linenumber - 2)) AS m FROM lineitem")
+def _(lineitem: DataFrame) -> DataFrame:
+    a, b = F.col("l_orderkey") - 500, F.col("l_linenumber") - 2
+    return lineitem.select("l_orderkey", X.integer_division(a, b).alias("v"), X.modulo(a, b).alias("m"))
+
+
 sql("proj_reorder_dup", "SELECT n_name AS b, n_nationkey AS a, n_name AS c FROM nation")
 sql("proj_decimal", "SELECT l_orderkey, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS v FROM lineitem")
 for _name, _x in {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
