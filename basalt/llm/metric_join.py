@@ -5,7 +5,8 @@ On the unit sphere a cosine is a distance, d = sqrt(2 - 2 cos), and links are pa
 1. Equal vectors become one, with a weight, so copies cost nothing more.
 2. Pivots (means of a bounded sample) partition the vectors into cells of the nearest pivot.  Each cell's distances to
    several pivots are measured, and a histogram of its distances to its own.
-3. Neighbouring cells make up parts of `cell_rows` rows.  A larger cell is cut into rings by the distance to its pivot, a ring
+3. Cells of over `cell_rows` rows get pivots of their own, from a sample of theirs, and all is dealt again; so a few times.
+   Neighbouring cells make up parts of `cell_rows` rows.  A cell that is still larger is cut into rings by the distance to its pivot, a ring
    that holds too many equal distances into parts by a hash.  Parts have an order; of a pair the vector of the earlier part is sent to the later.
 4. A vector is replicated to another part only if the triangle inequality lets it have a partner in a cell there: its distance
    to every measured pivot is within e of the cell's, that to the cell's pivot within e of the ring's and at most 2 e over that
@@ -25,7 +26,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, partitions, written
+from ._common import connected_components, discard, partitions, written
 from .vectors import centres_of, distances, sound_blocks, unite, units
 
 _LOOSE = 1e-6  # how far distances may be off
@@ -118,7 +119,7 @@ class Parts:
                         yield p, sent
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int | None = None, sample: int = 4096, most_pivots: int = 1024, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int | None = None, sample: int = 4096, most_pivots: int = 1024, deeper: int = 2, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """Links of cosine >= least among all rows: vec_id, n_links, component_id, kept.
 
     What single precision finds near is checked in double.  Null or zero vectors and those with a
@@ -126,8 +127,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int |
     components count like others.  Rows come back one each; a repeated vec_id is a vector of its own, a null one names a component
     only where all are null; an empty table gives no rows.  Other columns are ignored.
 
-    `sample` bounds the vectors that pivots come from (fewer of those over 2048 dimensions), cell_rows (by default a task's share, 256 to
-    32768) a part's own rows.  `work` counts pairs compared and vectors sent.
+    `sample` bounds the vectors that pivots come from at a time (fewer of those over 2048 dimensions), cell_rows (by default a task's share, 256 to
+    32768) a part's own rows; `deeper` is how often cells that hold more get pivots of their own.  `work` counts pairs compared and vectors sent.
     """
     spark = embeddings.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + _LOOSE) + _LOOSE
@@ -186,8 +187,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int |
             own = d.argmin(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(raw, pa.binary()), pa.array(own), pa.array(d[np.arange(len(d)), own])], ["id", "n", "data", "cell", "r"])
 
-    none = single.select("id", "n", "data", F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("r"))
-    at_hand = written(none.mapInArrow(place, "id long, n long, data binary, cell long, r double"), "placed")  # once, as all that follows must agree on it
+    def placed(df: DataFrame) -> DataFrame:
+        """Rows with their cells; written, as all that follows must agree on them."""
+        return written(df.mapInArrow(place, "id long, n long, data binary, cell long, r double"), "placed")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, n, _, unit, own, near in matrices(batches):
@@ -207,7 +209,40 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cell_rows: int |
 
     cells = "dim long, cell long, n long, weight long, head long, low binary, high binary, bins binary"
     cells_schema = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in cells.split(", ")])
-    measured = at_hand.mapInArrow(measure, cells).groupBy("dim", "cell").applyInArrow(merge, cells).collect()  # most_pivots rows a dimension
+
+    def measured_cells(df: DataFrame) -> list:
+        return df.mapInArrow(measure, cells).groupBy("dim", "cell").applyInArrow(merge, cells).collect()  # a row a pivot
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A share of each large cell's rows, by a hash of their ids."""
+        for ids, _, raw, unit, cell, _ in matrices(batches):
+            share = np.array([large.get((unit.shape[1], c), (0, 0.0))[1] for c in cell.tolist()])
+            at = np.flatnonzero((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)) < share * (1 << 20)).tolist()
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([unit.shape[1]] * len(at), pa.int64()), pa.array(cell[at]), pa.array([raw[k] for k in at], pa.binary())], ["dim", "cell", "data"])
+
+    at_hand = placed(single.select("id", "n", "data", F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("r")))
+    measured = measured_cells(at_hand)
+    for _ in range(deeper):  # large cells get pivots of their own
+        large = {}
+        for r in measured:
+            outside = int(np.frombuffer(r.bins, np.int64)[int(max(0.0, reach / 2) * _BINS / 2) + 1 :].sum())  # a core needn't be cut
+            if outside > cell_rows and r.dim in plans:
+                large[r.dim, r.cell] = r.n, min(1.0, 64 * -(-r.n // cell_rows) / r.n)
+        total = sum(n * share for n, share in large.values())
+        large = {key: (n, share * min(1.0, sample / total)) for key, (n, share) in large.items()}
+        points: dict[tuple, list] = {}
+        for r in at_hand.mapInArrow(draw, "dim long, cell long, data binary").limit(2 * sample).collect() if large else []:
+            points.setdefault((r.dim, r.cell), []).append(units(np.frombuffer(r.data, source).astype(np.float64)[None])[1][0])
+        if not points:
+            break
+        more: dict[int, list] = {}
+        for (dim, cell), some in sorted(points.items()):
+            more.setdefault(dim, []).append(centres_of(np.array(some), max(1, min(len(some) // 4, 2 * -(-large[dim, cell][0] // cell_rows)))))
+        plans |= {dim: Parts(np.concatenate([plans[dim].pivots, *some]), reach) for dim, some in more.items()}
+        before, at_hand = at_hand, placed(at_hand)
+        discard(before)
+        measured = measured_cells(at_hand)
     sizes: dict[int, dict[int, tuple]] = {}
     cores = {(r.dim, r.cell): (r.weight, r.head) for r in measured}
     for r in measured:

@@ -143,6 +143,21 @@ def test_a_group_of_near_copies_costs_its_own_size(spark, union, cell):
     assert found == {k: (int(near[k].sum()) - 1, union.find(k)) for k in range(len(x))}
 
 
+def test_large_cells_get_pivots_of_their_own(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(120, 32))[r.integers(0, 120, 6000)] + r.normal(scale=0.2, size=(6000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    done = []
+    for deeper in (0, 2):
+        pairs, sent = counters(spark)
+        found = metric_join.near_duplicates(df, cell_rows=100, most_pivots=6, deeper=deeper, work=(pairs, sent)).collect()
+        assert {v.vec_id: v.n_links for v in found} == links
+        done.append((pairs.value, sent.value))
+    assert done[1][0] < 0.3 * done[0][0] and done[1][1] < 0.5 * done[0][1]
+
+
 def test_cells_begin_with_small_tables(spark):
     r = np.random.default_rng(2)
     df = spark.createDataFrame([(k, (r.normal(size=8) + 20 * np.eye(8)[k % 4]).tolist()) for k in range(200)], "vec_id long, embedding array<double>")
