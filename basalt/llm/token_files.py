@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, partitions, pieces, texts_of
+from ._common import partitions, pieces, texts_of
 from .tokenizing import encoder
 
 MAGIC = b"BTOK1\n"
