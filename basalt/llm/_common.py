@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, GroupedData, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
@@ -84,12 +84,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_of(documents: DataFrame, column: str = "text", each: int = 16 << 20) -> int:
+def buckets_of(documents: DataFrame, column: str = "text", each: int = 8 << 20) -> int:
     """How many buckets the documents' texts are dealt to, at most so many bytes in the mean: a task's memory doesn't grow with the input."""
     size = documents.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0]
     return max(2 * partitions(documents.sparkSession), -(-(size or 0) // each))
 
 
+def by_bucket(df: DataFrame, buckets: int) -> GroupedData:
+    """Rows by the bucket in `part`, as many tasks as buckets."""
+    return df.repartition(buckets, "part").groupBy("part")
+
+
 def release_memory() -> None:
     """Give freed memory back: workers live on and share their executor's."""
     pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_tokens as S
-from ._common import buckets_of, connected_components, partitions, pieces, texts_of, written
+from ._common import buckets_of, by_bucket, connected_components, partitions, pieces, texts_of, written
 from .vectors import unite
 
 CAP = 16
@@ -179,9 +179,9 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
         return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate([*_TYPES, ("node", pa.binary())])})
 
     sent = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("h")).mapInArrow(send, S.SCHEMA)
-    shared = written(sent.groupBy("part").applyInArrow(S.share(buckets, CAP), S.SCHEMA), "shared")
+    shared = written(by_bucket(sent, buckets).applyInArrow(S.share(buckets, CAP), S.SCHEMA), "shared")
     members = shared.where(F.col("kind") == S.DOCUMENT)
-    returned = shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))).groupBy("part").applyInArrow(choose, _NODE + ", node binary")
+    returned = by_bucket(shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))), buckets).applyInArrow(choose, _NODE + ", node binary")
     one = members.where("first").groupBy("sig").agg(F.min("ref").alias("ref"))
     return members.select("doc_id", "n", "sig", "ref", F.substring("blob", 1, 8).alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import shared_tokens as S
-from ._common import buckets_of, pieces
+from ._common import buckets_of, by_bucket, pieces
 
 _CHUNK = 1 << 20  # positions at once; a place must fit in _PLACE
 _PLACE = np.uint64((1 << 24) - 1)
@@ -414,18 +414,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         made = {name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types[: 5 + keep_text])}
         return pa.table(made | ({"row": texts.column("row")} if keep_text else {}))
 
-    shared = known.mapInArrow(send, S.SCHEMA).groupBy("part").applyInArrow(S.share(buckets, 2), S.SCHEMA)
-    lists = shared.groupBy("part").applyInArrow(address, _ROWS)
-    found = lists.unionByName(known.mapInArrow(carry, _ROWS)).groupBy("part").applyInArrow(segments, _ROWS)
-    cuts = found.groupBy("part").applyInArrow(match, _ROWS)
+    shared = by_bucket(known.mapInArrow(send, S.SCHEMA), buckets).applyInArrow(S.share(buckets, 2), S.SCHEMA)
+    lists = by_bucket(shared, buckets).applyInArrow(address, _ROWS)
+    found = by_bucket(lists.unionByName(known.mapInArrow(carry, _ROWS)), buckets).applyInArrow(segments, _ROWS)
+    cuts = by_bucket(found, buckets).applyInArrow(match, _ROWS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if not keep_text:
-        return cuts.unionByName(rows.mapInArrow(carry, _ROWS)).groupBy("part").applyInArrow(cut, schema)
+        return by_bucket(cuts.unionByName(rows.mapInArrow(carry, _ROWS)), buckets).applyInArrow(cut, schema)
     whole = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row"))
     row = whole.schema["row"].dataType
     carried = whole.mapInArrow(carry_row, StructType([*_parsed(_ROWS), StructField("row", row)]))
     made = cuts.withColumn("row", F.lit(None).cast(row)).unionByName(carried)
-    return made.groupBy("part").applyInArrow(cut, StructType([*_parsed(schema), StructField("kept_text", StringType()), StructField("row", row)]))
+    return by_bucket(made, buckets).applyInArrow(cut, StructType([*_parsed(schema), StructField("kept_text", StringType()), StructField("row", row)]))
 
 
 ORACLE = """
