@@ -30,15 +30,19 @@ def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, syst
     text.  A dialogue of system turns alone has no rendering.  Other columns are ignored; an empty table gives no rows.
     """
     turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").isNull().alias("none"),
         F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(-1)).cast("long").alias("segment"),
         F.struct(F.col("turn").cast("long").alias("turn"), _safe(F.regexp_replace(F.coalesce(F.col("role"), F.lit("unknown")), _CONTROL, " ")).alias("role"), _safe(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"),
     )
-    place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy("t")) - 1  # dealt as the sum below is, so rows move once
+    key = ["conv", "none", "segment"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("t")) - 1
     numbered = turns.withColumn("place", place).withColumn("part", F.floor(F.col("place") / segment_rows).cast("long"))
-    segments = numbered.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("place", F.col("t.role").alias("role"), F.col("t.text").alias("text")))).alias("turns"))
-    speakers = turns.where(F.col("t.role") != system).select(F.col("conv_id").alias("of"), F.col("t.role").alias("perspective")).distinct()
-    who = segments.join(speakers, segments.conv_id.eqNullSafe(speakers.of))
+    segments = numbered.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("place", F.col("t.role").alias("role"), F.col("t.text").alias("text")))).alias("turns"))
+    roles = turns.select(*key, F.col("t.role").alias("perspective")).distinct()
+    speakers = roles.where(F.col("perspective") != system).select("conv", "none", "perspective").distinct()
+    who = roles.select(*key).distinct().join(speakers, ["conv", "none"])  # without texts, which so move once: window, sum and join share their key
+    who = segments.join(who, key)
 
     head = lambda t: F.when(t.role == system, F.lit(f"{START}{system}\n")).when(t.role == F.col("perspective"), F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), t.role, F.lit("\n")))
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t.text, F.lit(END)).alias("body"), (t.role == F.col("perspective")).alias("target")))
@@ -53,7 +57,7 @@ def rotate_perspectives(conversations: DataFrame, segment_turns: int = 256, syst
         lambda a: F.ltrim(a.spans, F.lit(",")),
     )
     return rendered.select(
-        "conv_id",
+        F.when(~F.col("none"), F.col("conv")).alias("conv_id"),
         "perspective",
         "segment",
         "part",
