@@ -39,6 +39,10 @@ class Engine:
             cached(df, level).createOrReplaceTempView(name)
         self.level = level
 
+    def close(self) -> None:
+        """Keep no table's rows any longer."""
+        self._keep("none")
+
     def execute(self, sql: str, args: dict[str, Any] | list | None = None, **frames: DataFrame) -> DataFrame:
         """A query; `:name` or `?` stand for args, `{name}` for a DataFrame."""
         return self.spark.sql(sql, args=args, **frames)

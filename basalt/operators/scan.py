@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,17 @@ def cached(df: DataFrame, level: str = "table_host") -> DataFrame:
     return df if storage is None else df.persist(storage)
 
 
+@contextmanager
+def kept(df: DataFrame, level: str = "table_host") -> Iterator[DataFrame]:
+    """A scan's rows, kept as long as the block lasts."""
+    stored = cached(df, level)
+    try:
+        yield stored
+    finally:
+        if stored.is_cached:
+            stored.unpersist()
+
+
 def values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 

@@ -221,6 +221,9 @@ def test_cache_levels(spark):
     assert scan.cached(spark.range(4), "table_host").is_cached
     with pytest.raises(KeyError):
         scan.cached(df, "tape")
+    with scan.kept(spark.range(5)) as five:
+        assert five.is_cached and five.count() == 5
+    assert not five.is_cached
     assert scan.one_row(spark).count() == 1 and scan.empty(df).count() == 0
     assert scan.values(spark, [(None,), (2,)], "a int").count() == 2
 
@@ -307,7 +310,8 @@ def test_engine_options(spark, data):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     engine.set("scan_cache_level", "table_host")
     assert "InMemoryTableScan" in engine.explain("SELECT n_name FROM nation")
-    engine.set("scan_cache_level", "none")
+    engine.close()
+    assert "InMemoryTableScan" not in engine.explain("SELECT n_name FROM nation")
     for option, value, error in (("scan_cache_level", "tape", ValueError), ("no_such", 1, KeyError), ("processing_memory", "1 GB", ValueError)):
         with pytest.raises(error):
             engine.set(option, value)
