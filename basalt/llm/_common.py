@@ -91,8 +91,8 @@ def buckets_of(documents: DataFrame, column: str = "text", each: int = 8 << 20)
 
 
 def by_bucket(df: DataFrame, buckets: int) -> GroupedData:
-    """Rows by the bucket in `part`, as many tasks as buckets."""
-    return df.repartition(buckets, "part").groupBy("part")
+    """Rows by the bucket in `part` (an int), a task a bucket."""
+    return df.repartitionById(buckets, "part").groupBy("part")
 
 
 def release_memory() -> None:

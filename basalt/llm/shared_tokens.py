@@ -19,9 +19,9 @@ from ._common import release_memory
 
 FLUSH = 800_000  # tokens at once in a task
 _MARK = np.uint32(0xFFFFFFFF)
-SCHEMA = "kind int, part long, blob binary, doc_id long, n long, sig binary, ref long, first boolean"
+SCHEMA = "kind int, part int, blob binary, doc_id long, n long, sig binary, ref long, first boolean"
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("ref", pa.int64()), ("first", pa.bool_())]
+    [("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("ref", pa.int64()), ("first", pa.bool_())]
 )
 DOCUMENT, TOKENS, RETURNED = 0, 1, 2
 
@@ -63,13 +63,13 @@ def runs(ordered: np.ndarray) -> np.ndarray:
 
 def rows(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(parts)
-    columns = [pa.array([kind] * n, pa.int32()), pa.array([p for p, _ in parts], pa.int64()), pa.array([b for _, b in parts], pa.binary()), *(pa.nulls(n, t) for t in _ARROW.types[3:])]
+    columns = [pa.array([kind] * n, pa.int32()), pa.array([p for p, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary()), *(pa.nulls(n, t) for t in _ARROW.types[3:])]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
 def documents(part: np.ndarray, doc_id, n, sig, ref, first, note=None) -> pa.RecordBatch:
     """Rows of documents; note is what `blob` holds for them."""
-    columns = [pa.array([DOCUMENT] * len(part), pa.int32()), pa.array(part), note or [None] * len(part), doc_id, n, sig, ref, first]
+    columns = [pa.array([DOCUMENT] * len(part), pa.int32()), pa.array(part, pa.int32()), note or [None] * len(part), doc_id, n, sig, ref, first]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
 

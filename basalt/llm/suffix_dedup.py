@@ -213,8 +213,8 @@ def match_segments(token: np.ndarray, doc: np.ndarray, size: np.ndarray, data: n
         yield member[by_kind[spread(lo, hi - lo)]], np.repeat(offset, hi - lo), np.repeat(width, hi - lo)
 
 
-_ROWS = "kind int, part long, blob binary, doc_id long, h long"
-_TYPES = [("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64())]
+_ROWS = "kind int, part int, blob binary, doc_id long, h long"
+_TYPES = [("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64())]
 _TEXT, _LIST, _SEGMENTS, _CUTS = range(4)
 
 
