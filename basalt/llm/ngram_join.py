@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_tokens as S
-from ._common import buckets_of, by_bucket, connected_components, partitions, pieces, texts_of, written
+from ._common import buckets_of, by_bucket, cleared, connected_components, discard, partitions, pieces, texts_of, written
 from .vectors import unite
 
 CAP = 16
@@ -180,10 +180,12 @@ def _candidates(documents: DataFrame, width: int, percent: int) -> tuple[DataFra
 
     sent = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("h")).mapInArrow(send, S.SCHEMA)
     shared = written(by_bucket(sent, buckets).applyInArrow(S.share(buckets, CAP), S.SCHEMA), "shared")
-    members = shared.where(F.col("kind") == S.DOCUMENT)
+    members = written(shared.where(F.col("kind") == S.DOCUMENT).select("doc_id", "n", "sig", "ref", "first", F.substring("blob", 1, 8).alias("h")), "members")
     returned = by_bucket(shared.where((F.col("kind") == S.RETURNED) | (F.col("first") & (F.col("n") > 0))), buckets).applyInArrow(choose, _NODE + ", node binary")
     one = members.where("first").groupBy("sig").agg(F.min("ref").alias("ref"))
-    return members.select("doc_id", "n", "sig", "ref", F.substring("blob", 1, 8).alias("h")), written(returned.join(one, "ref", "left_semi"), "candidates")
+    found = written(returned.join(one, "ref", "left_semi"), "candidates")
+    discard(shared)
+    return members, found
 
 
 def _pieces_of(found: DataFrame, percent: int) -> DataFrame:
@@ -294,18 +296,21 @@ def _large_links(large: DataFrame, meet) -> list[DataFrame]:
 
 
 def _components(documents: DataFrame, width: int, percent: int, work: Accumulator | None = None) -> tuple[DataFrame, DataFrame]:
-    """members: doc_id, n, sig, ref, h for every row; component: sig, root, component."""
-    members, found = _candidates(documents, width, percent)
-    size = F.octet_length("tokens") / 8
-    nodes = written(found.groupBy("node").agg(F.min("ref").alias("head"), F.count("*").alias("many")), "heads")
-    in_nodes = written(found.select("ref", "node", (100 * size >= percent * (2 * F.col("n") - size)).alias("alike")).join(nodes, "node").select("ref", "head", (F.col("alike") & (F.col("many") > 1)).alias("alike")), "in_nodes")
-    links = _links(found.drop("node").join(nodes.select(F.col("head").alias("ref")), "ref", "left_semi"), percent, work)
-    roots = connected_components(links)
-    roots = written(roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()), "roots")
-    placed = in_nodes.join(roots, in_nodes["head"] == roots["u"], "left").select("ref", F.coalesce("root", F.when(F.col("alike"), F.col("head")), "ref").alias("root"))
-    sets = written(members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")), "sets")
-    named = written(sets.join(placed, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root")), "named")
-    return members, written(_with_component(named), "components")
+    """members: doc_id, n, sig, ref, h for every row; component: sig, root, component.  Tables written on the way are deleted."""
+    with cleared(documents.sparkSession, kept := []):
+        members, found = _candidates(documents, width, percent)
+        size = F.octet_length("tokens") / 8
+        nodes = written(found.groupBy("node").agg(F.min("ref").alias("head"), F.count("*").alias("many")), "heads")
+        in_nodes = written(found.select("ref", "node", (100 * size >= percent * (2 * F.col("n") - size)).alias("alike")).join(nodes, "node").select("ref", "head", (F.col("alike") & (F.col("many") > 1)).alias("alike")), "in_nodes")
+        links = _links(found.drop("node").join(nodes.select(F.col("head").alias("ref")), "ref", "left_semi"), percent, work)
+        roots = connected_components(links)
+        roots = written(roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()), "roots")
+        placed = in_nodes.join(roots, in_nodes["head"] == roots["u"], "left").select("ref", F.coalesce("root", F.when(F.col("alike"), F.col("head")), "ref").alias("root"))
+        sets = written(members.where("n > 0").groupBy("sig").agg(F.min("ref").alias("ref"), F.min("doc_id").alias("least")), "sets")
+        named = written(sets.join(placed, "ref", "left").select("sig", "least", F.coalesce("root", "ref").alias("root")), "named")
+        component = written(_with_component(named), "components")
+        kept += [members, component]
+    return members, component
 
 
 def _with_component(named: DataFrame) -> DataFrame:
@@ -331,15 +336,17 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFra
 
     Null ids come last, and of rows that share their id and text one stays.  Documents without words stay.
     """
-    members, component = _components(documents, width, percent)
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "h"]
-    grouped = members.where("n > 0").join(component.select("sig", "root"), "sig")
-    chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), "h")).alias("m")).select("m.k", "m.none", "m.h")
-    kept = written(chosen.unionByName(members.where("n = 0").select(*key)), "kept")
+    with cleared(documents.sparkSession, tables := []):
+        members, component = _components(documents, width, percent)
+        grouped = members.where("n > 0").join(component.select("sig", "root"), "sig")
+        chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), "h")).alias("m")).select("m.k", "m.none", "m.h")
+        kept = written(chosen.unionByName(members.where("n = 0").select(*key)).distinct(), "kept")
+        again = members.where("n > 0").groupBy(*key).count().where("count > 1").limit(1).count()  # repeated rows are rare
+        tables.append(kept)
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), _text_hash().alias("h")]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *own)
-    stay = rows.join(kept.distinct(), ["k", "none", "h"], "left_semi")
-    again = members.where("n > 0").groupBy(*key).count().where("count > 1").limit(1).count()  # repeated rows are rare
+    stay = rows.join(kept, ["k", "none", "h"], "left_semi")
     if again:
         first = Window.partitionBy("k", "none", "h").orderBy("k")
         empty = ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
