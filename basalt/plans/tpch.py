@@ -29,15 +29,15 @@ DECIMALS = {
     "BAL": "CAST(c_acctbal AS DECIMAL(12,2))",
     "total": decimal_total,
 }
-#: The same on Spark, where sums of decimals over 18 digits make an object a row: cents and hundredths as longs.
+#: The same on Spark, where sums of decimals over 18 digits make an object a row: cents and hundredths as longs (by rint, as round makes an object too).
 LONGS = {
-    "EP": "CAST(round(l_extendedprice * 100) AS BIGINT)",
-    "DISC": "CAST(round(l_discount * 100) AS BIGINT)",
+    "EP": "CAST(rint(l_extendedprice * 100) AS BIGINT)",
+    "DISC": "CAST(rint(l_discount * 100) AS BIGINT)",
     "QTY": "CAST(l_quantity AS BIGINT)",
-    "REV": "CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))",
-    "TAXED": "* (100 + CAST(round(l_tax * 100) AS BIGINT))",
+    "REV": "CAST(rint(l_extendedprice * 100) AS BIGINT) * (100 - CAST(rint(l_discount * 100) AS BIGINT))",
+    "TAXED": "* (100 + CAST(rint(l_tax * 100) AS BIGINT))",
     "COST": "ps_supplycost * 100 * CAST(l_quantity AS BIGINT)",
-    "BAL": "CAST(round(c_acctbal * 100) AS BIGINT)",
+    "BAL": "CAST(rint(c_acctbal * 100) AS BIGINT)",
     "total": long_total,
 }
 
