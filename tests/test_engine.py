@@ -126,6 +126,16 @@ def test_not_in_and_mark(spark):
     assert {r.mark for r in join.mark(a, b.where("false"), [("k", "rk")]).collect()} == {False}
 
 
+@pytest.mark.parametrize("also", [None])
+def test_mark_compares_equal_keys_only(spark, also):
+    a = spark.range(100).selectExpr("id AS a", "id % 7 AS b", "id AS w")
+    b = spark.range(100).selectExpr("id * 2 AS c", "id % 7 AS d", "id * 3 AS w")
+    df = join.mark(a, b, [("a", "c"), ("b", "d")], also)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.a for r in df.collect() if r.mark} == {x for x in range(0, 100, 2) if x % 7 == x // 2 % 7 and (not also or x // 2 * 3 > x)}
+    assert [r.mark for r in join.mark(a.where("a = 1"), b.where("false"), [("a", "c"), ("b", "d")], also).collect()] == [False]
+
+
 def test_mark_by_three_values(spark):
     left = [(x, y) for x in (1, 2, None) for y in (1, 2, None)]
     equal = lambda x, y: None if x is None or y is None else x == y
