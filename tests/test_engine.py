@@ -126,7 +126,7 @@ def test_not_in_and_mark(spark):
     assert {r.mark for r in join.mark(a, b.where("false"), [("k", "rk")]).collect()} == {False}
 
 
-@pytest.mark.parametrize("also", [None])
+@pytest.mark.parametrize("also", [None, "r.w > l.w"])
 def test_mark_compares_equal_keys_only(spark, also):
     a = spark.range(100).selectExpr("id AS a", "id % 7 AS b", "id AS w")
     b = spark.range(100).selectExpr("id * 2 AS c", "id % 7 AS d", "id * 3 AS w")
