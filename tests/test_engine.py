@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import os
 import re
+import subprocess
 
 import duckdb
+import pyspark
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -304,6 +307,15 @@ def test_jdbc_reads_in_ranges(spark, data):
     assert QUERIES["source_jdbc"](spark, data).rdd.getNumPartitions() == 4
 
 
+def test_derby_is_read_from_another_process(spark):
+    rows = [(1, "a", 0.5, 7), (2, None, None, None), (None, "c", 1.5, 1 << 40)]
+    url = files.save_derby(spark.createDataFrame(rows, "i int, s string, d double, n long"), "t")
+    assert sorted(map(tuple, files.read_jdbc(spark, url, "t", "i", (0, 4), 2, driver=files.DERBY).collect()), key=str) == sorted(rows, key=str)
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+    found = subprocess.run(["java", "-Dderby.stream.error.file=/dev/null", "-cp", jars, "org.apache.derby.tools.ij"], input=f"connect '{url}'; select count(*) * 100 + sum(i) from t;", capture_output=True, text=True, timeout=120)
+    assert " 303" in f" {' '.join(found.stdout.split())}", found.stdout  # while this process has it open
+
+
 def test_tpch_scans_lineitem_once(spark, data):
     from basalt.registry import QUERIES
 
