@@ -307,6 +307,21 @@ def test_jdbc_reads_in_ranges(spark, data):
     assert QUERIES["source_jdbc"](spark, data).rdd.getNumPartitions() == 4
 
 
+@pytest.mark.parametrize("how", ["full"])
+@pytest.mark.parametrize("pairs", [1 << 28, 1 << 8])
+def test_band_join_of_odd_values(spark, monkeypatch, how, pairs):
+    monkeypatch.setattr(join, "_PAIRS", pairs)
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 1e300, 2.5, 2.5]
+    a = spark.createDataFrame(list(enumerate(odd + [k % 37 / 4 for k in range(150)] + [3.0] * 50)), "i int, x double")
+    b = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate([(p, q) for p in odd for q in odd] + [(k % 50 / 3 - 5, k % 50 / 3 - 5 + k % 3 * 0.3) for k in range(100)])], "j int, lo double, hi double")
+    df = join.band(a, b, "x", "lo", "hi", how)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    want = a.join(b, F.expr("x BETWEEN lo AND hi"), how)
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+    none = join.band(a.where("x IS NULL"), b, "x", "lo", "hi", how).collect()
+    assert sorted(map(str, none)) == sorted(map(str, a.where("x IS NULL").join(b, F.lit(False), how).collect()))
+
+
 def test_derby_is_read_from_another_process(spark):
     rows = [(1, "a", 0.5, 7), (2, None, None, None), (None, "c", 1.5, 1 << 40)]
     url = files.save_derby(spark.createDataFrame(rows, "i int, s string, d double, n long"), "t")
