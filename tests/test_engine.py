@@ -307,7 +307,7 @@ def test_jdbc_reads_in_ranges(spark, data):
     assert QUERIES["source_jdbc"](spark, data).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("how", ["left", "full"])
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
 @pytest.mark.parametrize("pairs", [1 << 28, 1 << 8])
 def test_band_join_of_odd_values(spark, monkeypatch, how, pairs):
     monkeypatch.setattr(join, "_PAIRS", pairs)
