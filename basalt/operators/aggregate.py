@@ -24,3 +24,16 @@ def count_distinct_by(df: DataFrame, by: Sequence[str], what: Sequence[str], nam
     """
     tuples = df.select(*by, *[F.col(c).alias(f"__{k}") for k, c in enumerate(what)]).distinct()
     return tuples.groupBy(*by).agg(F.count("__0" if len(what) == 1 else "*").alias(name))
+
+
+def dealt(df: DataFrame, by: Sequence[str], rows: int = 1 << 18) -> DataFrame:
+    """df's rows dealt by keys to tasks of about so many: as their number is given, adaptive execution doesn't put them together.
+
+    Rows of numbers that follow each other take a few bytes once compressed, and by these bytes it would let a task have many millions.
+    """
+    return df.repartition(max(-(-df.count() // rows), 1), *by)
+
+
+def counted(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """The rows of each key."""
+    return dealt(df.select(*by), by).groupBy(*by).agg(F.count("*").alias(name))

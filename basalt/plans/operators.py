@@ -202,7 +202,15 @@ def _register_on_tables(kind: str) -> None:
 for _kind in (*_SQL_KINDS, "right_semi", "right_anti"):
     _register_on_tables(_kind)
 
-sql("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber")
+
+@frames("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber")
+def _(lineitem: DataFrame) -> DataFrame:
+    """A key of m rows has m * m pairs, which are counted without being made."""
+    a = aggregate.counted(lineitem, ["l_orderkey", "l_linenumber"], "__a")
+    b = a.select(F.col("l_orderkey").alias("__o"), F.col("l_linenumber").alias("__l"), F.col("__a").alias("__b"))
+    return join.equi(a, b, [("l_orderkey", "__o"), ("l_linenumber", "__l")]).select("l_orderkey", "l_linenumber", (F.col("__a") * F.col("__b")).alias("n"))
+
+
 sql("join_cast_key", "SELECT n_name, c_name FROM nation JOIN customer ON n_nationkey = c_custkey")
 sql("join_expression_key", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey + 1 = c_custkey")
 for _name, _on in {"ne": "n_regionkey <> r_regionkey", "lt": "n_regionkey < r_regionkey", "le": "n_regionkey <= r_regionkey", "ge": "n_regionkey >= r_regionkey", "two": "n_regionkey < r_regionkey AND n_nationkey > r_regionkey + 3", "expr": "n_regionkey * 2 > r_regionkey + 1"}.items():

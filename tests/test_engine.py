@@ -322,6 +322,16 @@ def test_band_join_of_odd_values(spark, monkeypatch, how, pairs):
     assert sorted(map(str, none)) == sorted(map(str, a.where("x IS NULL").join(b, F.lit(False), how).collect()))
 
 
+def test_pairs_of_equal_keys_are_counted_in_tasks_of_bounded_rows(spark, tmp_path):
+    from basalt.registry import QUERIES
+
+    rows = spark.range(1 << 21).selectExpr("IF(id % 2 = 0, 7, id) AS l_orderkey", "IF(id = 1, NULL, 3) AS l_linenumber")
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = QUERIES["join_multi_key"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 8  # of 4 shuffle partitions otherwise
+    assert df.agg(F.count("*"), F.max("n")).collect() == [((1 << 20) - 1, ((1 << 20) + 1) ** 2)]
+
+
 def test_derby_is_read_from_another_process(spark):
     rows = [(1, "a", 0.5, 7), (2, None, None, None), (None, "c", 1.5, 1 << 40)]
     url = files.save_derby(spark.createDataFrame(rows, "i int, s string, d double, n long"), "t")
