@@ -442,7 +442,15 @@ sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey F
 sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 sql("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")
 sql("distinct_rows", "SELECT DISTINCT event_type, user_id % 5 AS g FROM events")
-sql("window_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)")
+
+@frames("window_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)")
+def _(orders: DataFrame) -> DataFrame:
+    rows = orders.count()
+    cut = orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    ranked = window.ranks(cut, ["o_orderstatus"], ["o_orderpriority"], ["o_totalprice", "o_orderkey"], "r", "d", rows=rows).drop("number", "o_orderpriority")
+    return window.ranks(ranked, ["o_orderstatus"], ["-o_totalprice", "o_orderkey"], number="n", rows=rows).select("o_orderkey", "r", "d", "n")
+
+
 @frames("window_running_sum", "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
 def _(orders: DataFrame) -> DataFrame:
     return window.running_sum(orders.select("o_orderpriority", "o_orderkey", "o_custkey"), ["o_orderpriority"], ["o_orderkey"], "o_custkey", "s").select("o_orderkey", "s")

@@ -332,6 +332,29 @@ def test_pairs_of_equal_keys_are_counted_in_tasks_of_bounded_rows(spark, tmp_pat
     assert df.agg(F.count("*"), F.max("n")).collect() == [((1 << 20) - 1, ((1 << 20) + 1) ** 2)]
 
 
+@pytest.mark.parametrize("rows", [1 << 17, 5])
+def test_ranks_of_peers_spread_over_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(window, "_ROWS", rows)
+    values = [(k, None if k % 11 == 0 else "ab"[k % 7 > 4], None if k % 13 == 0 else 1 if k % 3 else k % 5, k % 4) for k in range(120)]
+    df = spark.createDataFrame(values, "k long, g string, v int, t int")
+    got = window.ranks(df, ["g"], ["-v"], ["t", "k"])
+    assert got.columns == ["k", "g", "v", "t", "rank", "dense", "number"]
+    text = "SELECT k, g, v, t, rank() OVER w AS rank, dense_rank() OVER w AS dense, row_number() OVER (PARTITION BY g ORDER BY v DESC NULLS LAST, t, k) AS number FROM {df} WINDOW w AS (PARTITION BY g ORDER BY v DESC NULLS LAST)"
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.sql(text, df=df).collect()))
+    assert sorted(map(str, window.running_sum(df, ["g"], ["k"], "v").collect())) == sorted(map(str, spark.sql("SELECT *, sum(v) OVER (PARTITION BY g ORDER BY k) AS running FROM {df}", df=df).collect()))
+
+
+def test_window_rank_is_spread_over_tasks(spark, tmp_path):
+    from basalt.registry import QUERIES
+
+    rows = spark.range(600_000).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "id % 1000 / 10.0D AS o_totalprice", "IF(id % 9 = 0, NULL, '1-URGENT') AS o_orderpriority")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    df = QUERIES["window_rank"](spark, str(tmp_path))
+    most = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).collect()[0][0]
+    assert most < 600_000
+    assert df.agg(F.max("r"), F.max("d"), F.max("n"), F.count_distinct("n")).collect() == [(533_334, 2, 600_000, 600_000)]  # nulls are last
+
+
 def test_derby_is_read_from_another_process(spark):
     rows = [(1, "a", 0.5, 7), (2, None, None, None), (None, "c", 1.5, 1 << 40)]
     url = files.save_derby(spark.createDataFrame(rows, "i int, s string, d double, n long"), "t")
