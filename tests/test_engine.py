@@ -151,6 +151,36 @@ def test_mark_by_three_values(spark):
             assert {(r.a, r.b): r.mark for r in join.mark(a, b, [("a", "c"), ("b", "d")], also).collect()} == want
 
 
+def test_mark_by_a_comparison_meets_a_row_a_key(spark, tmp_path):
+    from basalt import plans  # noqa: F401  registers the queries
+    from basalt.registry import QUERIES
+
+    a = spark.range(600).selectExpr("IF(id % 5 = 0, NULL, id) AS c_custkey", "CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN DOUBLE('NaN') WHEN 2 THEN 1e9 ELSE id * 3D END AS c_acctbal")
+    for nulls in (3, 1000):  # of orders without a customer
+        b = spark.range(900).selectExpr(f"IF(id % {nulls} = 0, NULL, id % 300) AS o_custkey", "CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN DOUBLE('NaN') ELSE id * 50D END AS o_totalprice")
+        at = tmp_path / str(nulls)
+        for df, table in ((a, "customer"), (b, "orders")):
+            df.write.parquet(f"{at}/{table}.parquet")
+        df = QUERIES["join_mixed_mark"](spark, str(at))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ExistenceJoin") == plan.count("Aggregate [") > 2  # right's rows were met one by one
+        per = a.withColumn("__i", F.monotonically_increasing_id()).crossJoin(b).where("o_totalprice > c_acctbal * 40").groupBy("__i").agg(F.max(F.expr("c_custkey = o_custkey")).alias("hit"), F.max(F.expr("c_custkey IS NULL OR o_custkey IS NULL")).alias("open"))
+        want = a.withColumn("__i", F.monotonically_increasing_id()).join(per, "__i", "left").selectExpr("c_custkey", "CASE WHEN hit THEN TRUE WHEN open THEN NULL ELSE FALSE END AS m")
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+        assert {r.m for r in df.collect()} == {True, False, None}
+
+
+@pytest.mark.parametrize("sign", [">", ">=", "<", "<="])
+def test_mark_by_every_comparison(spark, sign):
+    values = [None, 1, 2, 3]
+    a = spark.createDataFrame([(x, y, v) for x in (1, 2, None) for y in (1, None) for v in values], "a int, b int, v int")
+    b = spark.createDataFrame([(x, y, w) for x, y, ws in ((1, 1, (2, None)), (2, None, (1, 3)), (None, 1, (2,)), (None, None, (None,))) for w in ws], "c int, d int, w int")
+    one, other = (join.mark(a, b, [("a", "c"), ("b", "d")], also) for also in (("r.w", sign, "l.v"), f"r.w {sign} l.v"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    with pytest.raises(ValueError):
+        join.mark(a, b, [("a", "c")], ("r.w", "=", "l.v"))
+
+
 def test_salts_go_to_hot_keys_alone(spark):
     a = spark.createDataFrame([(1, i) for i in range(500)] + [(k, 0) for k in range(2, 100)], "k int, v int")
     b = spark.createDataFrame([(k, "x") for k in range(100)], "k int, w string")
