@@ -352,6 +352,18 @@ def test_band_join_of_odd_values(spark, monkeypatch, how, pairs):
     assert sorted(map(str, none)) == sorted(map(str, a.where("x IS NULL").join(b, F.lit(False), how).collect()))
 
 
+def test_band_join_spreads_rows_before_copying_them_to_slices(spark, monkeypatch):
+    monkeypatch.setattr(join, "_PAIRS", 1 << 11)
+    monkeypatch.setattr(join, "_COPIES", 1 << 12, raising=False)
+    a = spark.range(500).selectExpr("id AS i", "id / 10D AS x")
+    for reached, makers in ((40, 0), (400, 75)):  # by 64 cells and 1 or 12 slices
+        b = spark.range(400).coalesce(1).selectExpr("id AS j", f"IF(id < {reached}, 0D, 1e6) AS lo", f"IF(id < {reached}, 24.9D, 2e6) AS hi")
+        df = join.band(a, b, "x", "lo", "hi")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"RoundRobinPartitioning\((\d+)\)", plan) == [str(makers)] * (makers > 0)
+        assert df.agg(F.count("*"), F.countDistinct("i", "j"), F.max("i"), F.max("j")).collect() == [(250 * reached, 250 * reached, 249, reached - 1)]
+
+
 def test_pairs_of_equal_keys_are_counted_in_tasks_of_bounded_rows(spark, tmp_path):
     from basalt.registry import QUERIES
 
