@@ -15,10 +15,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basalt.llm import bpe, langid, ngram_join, packing, suffix_dedup, token_files
+from basalt.llm import bpe, langid, ngram_join, packing, suffix_dedup, token_files, tokenizing
 from basalt.llm._common import written
 from basalt.llm.queries import tokenizer
-from basalt.llm.tokenizing import encoder, load
+from basalt.llm.tokenizing import ChunkEncoder, encoder, load
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -320,6 +320,30 @@ def test_chunks_encode_as_whole_texts(name, given_):
     assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_encoded_once(name, monkeypatch):
+    own, asked = ChunkEncoder(tokenizer(name)), []
+    text = "so qzxv qzxv, qzxv qzxv. qzxv; qzxv,\nso vqzé! vqzé vqzé?! qzxv"
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    tokenize = own.tokenize
+    monkeypatch.setattr(own, "tokenize", lambda seen: asked.append(seen) or tokenize(seen))
+    assert own.encode([text, text + " qzxv:"])[0].tolist() == want + own.tokenizer.encode(text + " qzxv:", add_special_tokens=False).ids
+    assert max(Counter(asked).values()) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_forgotten_and_met_again(name, monkeypatch):
+    own = ChunkEncoder(tokenizer(name))
+    monkeypatch.setattr(own, "most", 20)
+    monkeypatch.setattr(tokenizing, "_SLICE", 7)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcé") for _ in range(4)) + r.choice(["", "", ",", ".\n", "?!", "-é", "1", "'s", "日,"]) for _ in range(60)]
+    given_ = [" ".join(r.choices(words, k=50)).replace("\n ", "\n").rstrip() for _ in range(30)]
+    ids, begins = own.encode(given_)
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [e.ids for e in own.tokenizer.encode_batch(given_, add_special_tokens=False)]
+    assert len(own.chunks) <= 20 + 14 and not own.chunks.old.old
+
+
 def test_token_files(spark, documents, texts, tmp_path):
     path = f"file://{tmp_path}/tokens"
     manifest = token_files.write_tokens(documents, tokenizer("word_bpe_49k.json"), path, end_id=1, files=3)
